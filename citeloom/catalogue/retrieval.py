@@ -4,25 +4,16 @@ from pyspark.sql import functions as F
 
 from citeloom import fixed
 from citeloom.catalogue import query
+from citeloom.catalogue.shared import branches, question_count, selected
 from citeloom.catalogue.sqlbase import fold, sql
 from citeloom.catalogue.tidy import tidy
 from citeloom.functions import safety as sf
 from citeloom.functions import text as tx
-from citeloom.operators import dedup, evidence, fusion, lexical, vectors, versions
-from citeloom.plans import ask, assess
+from citeloom.operators import dedup, evidence, fusion, lexical, vectors
+from citeloom.plans import ask
 from citeloom.sources import tables as t
 
 
-def count(spark, folder) -> int:
-    return t.load(spark, folder, "benchmark").count()
-
-
-def branches(spark, folder):
-    return ask.both_branches(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=count(spark, folder)
-    )
-
-
 # --- questions and tokens --------------------------------------------------------
 
 
@@ -171,7 +162,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     hits = lexical.lexical_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=count(spark, folder)
+        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
     )
     return tidy(hits)
 
@@ -192,7 +183,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     hits = lexical.diagnostic_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=count(spark, folder)
+        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
     )
     return tidy(hits)
 
@@ -284,7 +275,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     hits = vectors.hash_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=count(spark, folder)
+        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
     )
     return tidy(hits)
 
@@ -359,7 +350,7 @@ def _(spark, folder):
 def _(spark, folder):
     """The second check: a third of the documents was withdrawn after the search."""
     hits = lexical.lexical_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=count(spark, folder)
+        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
     )
     still = t.versions(spark, folder).where("document_id % 3 <> 0")
     return tidy(fusion.active_only(hits, still), "query_id", "version_id", "chunk_id", "rank")
@@ -451,7 +442,7 @@ def _(spark, folder):
         t.versions(spark, folder),
         t.business_metadata(spark, folder),
         strategy="hybrid",
-        n_queries=count(spark, folder),
+        n_queries=question_count(spark, folder),
         near_text=False,
     )
     return tidy(rows, "query_id", "version_id", "chunk_id", "score", "rank")
@@ -465,7 +456,7 @@ def _(spark, folder):
         t.versions(spark, folder),
         t.business_metadata(spark, folder),
         strategy="hybrid_normalized",
-        n_queries=count(spark, folder),
+        n_queries=question_count(spark, folder),
     )
     return tidy(rows, "query_id", "version_id", "chunk_id", "score", "rank")
 
@@ -473,15 +464,6 @@ def _(spark, folder):
 # --- rerank, gate, evidence -----------------------------------------------------------
 
 
-def selected(spark, folder):
-    """(candidates, reranked, gated evidence) of the hybrid strategy, folded by hash and heading."""
-    vector, words = branches(spark, folder)
-    combined = fusion.choose_strategy("hybrid", vector, words)
-    candidates = dedup.retained(combined, dedup.deduplicate(combined, near_text=False))
-    reranked, shown = ask.evidence_table(candidates, t.questions(spark, folder))
-    return candidates, reranked, shown
-
-
 def located(spark, folder, rows):
     """Evidence with the locator columns of its chunks."""
     none = F.lit(None).cast("int")

@@ -18,43 +18,28 @@ def tokenised(chunks: DataFrame) -> DataFrame:
     )
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(token, version_id, chunk_id, field, tf), one row per token of a chunk field.
-
-    A chunk's tokens are counted inside its own row, so nothing is shuffled;
-    write the result bucketed by token when it is to be kept.
-    """
-    fields = F.array(
+def _fields(chunks: DataFrame) -> DataFrame:
+    """One row per chunk field: version_id, chunk_id, field, tokens."""
+    entries = F.array(
         F.struct(F.lit("heading").alias("field"), F.col("heading_tokens").alias("tokens")),
         F.struct(F.lit("text").alias("field"), F.col("text_tokens").alias("tokens")),
     )
-    sorted_tokens = F.array_sort("entry.tokens")
-    return (
-        tokenised(chunks)
-        .select("version_id", "chunk_id", F.explode(fields).alias("entry"))
-        .select("version_id", "chunk_id", "entry.field", F.explode(_runs(sorted_tokens)).alias("run"))
-        .select("run.token", "version_id", "chunk_id", "field", "run.tf")
+    return tokenised(chunks).select("version_id", "chunk_id", F.explode(entries).alias("entry")).select(
+        "version_id", "chunk_id", "entry.*"
     )
 
 
-def _runs(ordered):
-    """Sorted tokens to (token, tf) by the positions where the token changes."""
-    size = F.size(ordered)
-    starts = F.filter(
-        F.sequence(F.lit(1), size),
-        lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1)))),
-    )
-    return F.when(
-        size > 0,
-        F.transform(
-            starts,
-            lambda start, n: F.struct(
-                F.element_at(ordered, start).alias("token"),
-                (
-                    F.when(n + 1 < F.size(starts), F.element_at(starts, n + 2)).otherwise(size + 1) - start
-                ).alias("tf"),
-            ),
-        ),
+def postings(chunks: DataFrame) -> DataFrame:
+    """(token, version_id, chunk_id, field, tf), one row per token of a chunk field.
+
+    Keyed by chunk first, so a token that occurs everywhere is spread over all
+    tasks; write the result bucketed by token when it is to be kept.
+    """
+    return (
+        _fields(chunks)
+        .select("version_id", "chunk_id", "field", F.explode("tokens").alias("token"))
+        .groupBy("version_id", "chunk_id", "field", "token")
+        .agg(F.count("*").alias("tf"))
     )
 
 
@@ -136,21 +121,28 @@ def lexical_hits(
 def match_statistics(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per question and token: matched chunks and occurrences, joined on the token.
 
-    Postings are summed per token before the join, so each side has one row
-    per token and no pair of question and chunk is written.
+    Tokens are counted before the join, map-side, so each side has one row per
+    token and no pair of question and chunk is written.
     """
     tokens = query_tokens(questions)
-    per_token = (
-        postings(chunks)
-        .join(tokens.select("token").distinct(), "token", "left_semi")
+    wanted = tokens.select("token").distinct()
+    fields = _fields(chunks)
+    chunk_counts = (
+        fields.select("field", F.explode(F.array_distinct("tokens")).alias("token"))
+        .join(wanted, "token", "left_semi")
         .groupBy("token")
         .agg(
-            F.sum(F.when(F.col("field") == "text", 1).otherwise(0)).alias("text_chunks"),
-            F.sum(F.when(F.col("field") == "heading", 1).otherwise(0)).alias("heading_chunks"),
-            F.sum("tf").alias("occurrences"),
+            F.count_if(F.col("field") == "text").alias("text_chunks"),
+            F.count_if(F.col("field") == "heading").alias("heading_chunks"),
         )
     )
-    return tokens.join(per_token, "token").select(
+    occurrences = (
+        fields.select(F.explode("tokens").alias("token"))
+        .join(wanted, "token", "left_semi")
+        .groupBy("token")
+        .agg(F.count("*").alias("occurrences"))
+    )
+    return tokens.join(chunk_counts, "token").join(occurrences, "token").select(
         "query_id", "token", "text_chunks", "heading_chunks", "occurrences"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from citeloom import fixed
 from citeloom.functions import text as tx
 from citeloom.operators import dedup, evidence, fusion, lexical, vectors, versions
+from citeloom.session import shared_dir, write_table
 
 
 def both_branches(
@@ -14,12 +15,15 @@ def both_branches(
     """Vector and lexical hits with their chunks attached.
 
     ``questions``: query_id, profile, question, queries; ``chunks`` carries
-    profiles. Hits of both branches are attached in one read of the chunks.
+    profiles. The search is a job of its own: its hits (at most 40 rows a
+    question, attached to their chunks in one read) are written once, and
+    every later step starts from that table instead of searching again.
     """
     vector = vectors.hash_hits(questions, chunks, n_queries=n_queries, k=k).withColumn("branch", F.lit("vector"))
     words = lexical.lexical_hits(questions, chunks, n_queries=n_queries, k=k).withColumn("branch", F.lit("lexical"))
     both = fusion.attach_chunks(vector.unionByName(words), chunks, n_queries=2 * n_queries, k=k)
-    return both.where("branch = 'vector'").drop("branch"), both.where("branch = 'lexical'").drop("branch")
+    kept = write_table(both, shared_dir(both.sparkSession, "hits"))
+    return kept.where("branch = 'vector'").drop("branch"), kept.where("branch = 'lexical'").drop("branch")
 
 
 def question_variants(questions: DataFrame, strategy: str) -> DataFrame:
@@ -67,4 +71,8 @@ def retrieve(
 def evidence_table(candidates: DataFrame, questions: DataFrame, scorer=None) -> tuple[DataFrame, DataFrame]:
     """Reranked candidates, and the evidence that passes the relevance gate."""
     reranked = evidence.rerank(candidates.join(questions.select("query_id", "question"), "query_id"), scorer)
-    return reranked, evidence.relevance_gate(evidence.select_evidence(reranked))
+    return reranked, gate(reranked)
+
+
+def gate(reranked: DataFrame) -> DataFrame:
+    return evidence.relevance_gate(evidence.select_evidence(reranked))

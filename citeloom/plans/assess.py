@@ -9,12 +9,19 @@ from citeloom.plans.ask import both_branches
 
 def arm_candidates(
     questions: DataFrame, chunks: DataFrame, *, n_queries: int, near_text: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Search once, then :func:`arms_from`."""
+    vector, words = both_branches(questions, chunks, n_queries=n_queries)
+    return arms_from(vector, words, near_text=near_text)
+
+
+def arms_from(
+    vector: DataFrame, words: DataFrame, *, near_text: bool = True
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates of every (case, arm), the drop facts, and the fusion facts.
 
-    The branches are searched once and shared by all arms.
+    All arms share the hits of the two branches.
     """
-    vector, words = both_branches(questions, chunks, n_queries=n_queries)
     facts = fusion.fuse(vector, words)
     lists = {
         "vector": vector,

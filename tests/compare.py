@@ -39,11 +39,14 @@ KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean":
 
 def difference(spark_df, con, sql: str) -> str | None:
     """None when both agree in columns, types, row count and values."""
+    started = time.time()
     ours = rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    middle = time.time()
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     kinds = {d[0]: str(d[1]) for d in result.description}
     theirs = rows(names, result.fetchall())
+    print(f"     spark {middle - started:.1f}s sql {time.time() - middle:.1f}s", flush=True)
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} vs {sorted(names)}"
     for name, kind in spark_df.dtypes:
