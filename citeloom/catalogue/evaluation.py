@@ -511,7 +511,7 @@ def _set(spark, folder):
   WITH c AS (SELECT conv_id * 10 + turn AS n, conv_id, '  ' || substr(text, 1, 6) AS q, string_split(substr(text, 1, 40), '.') AS points FROM conversations WHERE role = 'user'),
        k AS (SELECT * FROM c WHERE trim(q) <> '' AND n % 500 < (SELECT count(*) FROM documents) AND conv_id < (SELECT count(*) FROM documents)),
        f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY {fold(r"trim(regexp_replace(q, '\s+', ' ', 'g'))")} ORDER BY n) = 1),
-       p AS (SELECT n, conv_id, trim(q) AS q, list_filter(list_transform(points, lambda x: trim(x)), lambda x: x <> '') AS points,
+       p AS (SELECT n, conv_id, trim(q, ' ' || chr(10)) AS q, list_filter(list_transform(points, lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS points,
                     ['fact', 'procedure', NULL, 'no_answer', 'procedure', 'synthesis', NULL][n % 7 + 1] AS type FROM f)
   SELECT n AS case_no, q AS question, array_to_string(points, '|') AS reference_points, CASE WHEN n % 500 = conv_id THEN 'v' || conv_id ELSE 'v' || (n % 500) || '|v' || conv_id END AS source_ids, type
   FROM p WHERE type IS NOT NULL AND len(points) > 0 ORDER BY n LIMIT 200""",

@@ -42,8 +42,7 @@ def casefold(text: Column) -> Column:
     ranges; any other row uses an Arrow function.
     """
     convert = F.pandas_udf(_fold, StringType())
-    native = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.coalesce(convert(F.when(~text.rlike(_FOLD_STABLE), text)), native)
+    return F.coalesce(convert(F.when(~text.rlike(_FOLD_STABLE), text)), native_fold(text))
 
 
 def strip(text: Column) -> Column:
@@ -217,22 +216,21 @@ def iso_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.date_format(parsed, "yyyy-MM-dd") == text), parsed)
 
 
+def native_fold(text: Column) -> Column:
+    """Lower-casing with ``ß`` as ``ss``, for use inside lambdas, where Arrow functions cannot run."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def covers_points(answer: Column, points: Column) -> Column:
-    """Every reference point occurs in the answer, ignoring case."""
-    folded = casefold(answer)
+    """Every reference point occurs in the answer, compared by :func:`native_fold`."""
     return F.coalesce(
         ~is_blank(answer)
         & (F.size(points) > 0)
-        & F.forall(points, lambda p: folded.contains(casefold_native(strip(p)))),
+        & F.forall(points, lambda p: native_fold(answer).contains(native_fold(strip(p)))),
         F.lit(False),
     )
 
 
-def casefold_native(text: Column) -> Column:
-    """Folding inside lambdas, where Python functions cannot run."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-
-
 def generation_available(answered: Column, refused: Column, reason: Column) -> Column:
     return F.coalesce(
         (answered & ~refused & reason.isNull()) | (refused & (reason == fixed.MODEL_REFUSED)), F.lit(False)
