@@ -221,7 +221,7 @@ def _(spark, folder):
 @query(
     "flt14_sanitised_feedback",
     sql(
-        """SELECT event_id, message_id, helpful, reason FROM clicks WHERE event_id % 6 NOT IN (0, 1, 2) AND NOT (event_id % 6 = 3 AND helpful) OR event_id % 6 = 2 AND false""",
+        """SELECT event_id, message_id, helpful, reason FROM clicks WHERE event_id % 6 NOT IN (0, 1, 2) AND NOT (event_id % 6 = 3 AND helpful)""",
         "clicks",
     ),
 )

@@ -17,6 +17,11 @@ def _once(spark: SparkSession, folder: str, name: str, make):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Make the next query search again."""
+    _KEPT.clear()
+
+
 def _kept(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, shared_dir(df.sparkSession, name))
 

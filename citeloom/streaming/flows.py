@@ -3,7 +3,7 @@
 Each sink is append-only: a micro-batch adds the rows that are new to its
 table, and the table's view decides between rows of one key. A batch that is
 replayed after a failure adds nothing that changes the view, and any late
-event is accepted, however late. Watermarks only bound state.
+event is accepted, however late.
 """
 
 import json
@@ -196,46 +196,47 @@ def _outcome(request_id: str, events: list[dict]) -> dict:
     }
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    events = json.loads(state.get[0]) if state.exists else []
-    if state.hasTimedOut:
-        # No terminal event came: report what is there and let go of the state.
-        state.remove()
-        yield pd.DataFrame([{**_outcome(key[0], events), "well_formed": False}])
-        return
-    for frame in frames:
-        for row in frame.to_dict("records"):
-            event = {name: row[name] if not _missing(row[name]) else None for name in _EVENT_FIELDS}
-            event["seq"] = int(event["seq"])
-            event["refused"] = bool(event["refused"]) if event["refused"] is not None else None
-            event["citation_ids"] = list(row["citation_ids"]) if row["citation_ids"] is not None else []
-            event["at"] = int(row["event_time"].timestamp() * 1000)
-            events.append(event)
-    last = max((e["seq"] for e in events if e["type"] in ("final", "error")), default=None)
-    if last is not None and len({e["seq"] for e in events}) == last + 1:
-        if state.exists:
+def _folder(give_up_ms: int):
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        events = json.loads(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            # No terminal event came: report what is there and let go of the state.
             state.remove()
-        yield pd.DataFrame([_outcome(key[0], events)])
-    else:
-        state.update((json.dumps(events),))
-        state.setTimeoutTimestamp(max(max(e["at"] for e in events), state.getCurrentWatermarkMs()) + 600_000)
+            yield pd.DataFrame([{**_outcome(key[0], events), "well_formed": False}])
+            return
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                event = {name: row[name] if not _missing(row[name]) else None for name in _EVENT_FIELDS}
+                event["seq"] = int(event["seq"])
+                event["refused"] = bool(event["refused"]) if event["refused"] is not None else None
+                event["citation_ids"] = list(row["citation_ids"]) if row["citation_ids"] is not None else []
+                events.append(event)
+        last = max((e["seq"] for e in events if e["type"] in ("final", "error")), default=None)
+        if last is not None and len({e["seq"] for e in events}) == last + 1:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([_outcome(key[0], events)])
+        else:
+            state.update((json.dumps(events),))
+            state.setTimeoutDuration(give_up_ms)
+
+    return fold
 
 
 def _missing(value) -> bool:
     return value is None or value is pd.NaT or (isinstance(value, float) and value != value)
 
 
-def fold_chat_events(stream: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
+def fold_chat_events(stream: DataFrame, *, give_up_ms: int = 3_600_000) -> DataFrame:
     """Outcome of each request once its terminal event and all before it are in.
 
-    ``stream``: request_id, seq (from 0), event_time, type, text, refused,
-    reason_code, citation_ids. State is one request's events; a request that
-    never ends is given up ten minutes of event time after its last event.
+    ``stream``: request_id, seq (from 0), type, text, refused, reason_code,
+    citation_ids. State is one request's events. There is no watermark, which
+    would drop late events; a request that never ends is given up after an
+    hour without news, so state stays bounded.
     """
-    columns = ["request_id", "event_time", *_EVENT_FIELDS, "citation_ids"]
     return (
-        stream.select(*columns)
-        .withWatermark("event_time", delay)
+        stream.select("request_id", *_EVENT_FIELDS, "citation_ids")
         .groupBy("request_id")
-        .applyInPandasWithState(_fold, OUTCOME, "events string", "append", "EventTimeTimeout")
+        .applyInPandasWithState(_folder(give_up_ms), OUTCOME, "events string", "append", "ProcessingTimeTimeout")
     )
