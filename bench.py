@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from citeloom.catalogue import QUERIES, load_all, shared
@@ -36,7 +37,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     load_all()
-    spark = build_session("bench", f"local[{cpus}]")
+    spark = build_session("bench", f"local[{cpus}]", driver_memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.shuffle.partitions", cpus)
     spark.range(1000).selectExpr("sum(id)").collect()
@@ -47,6 +48,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -9,6 +9,7 @@ from citeloom.catalogue.tidy import tidy
 from citeloom.functions import redaction as rd
 from citeloom.functions import text as tx
 from citeloom.operators import contracts, feedback as fb
+from citeloom.session import spread
 from citeloom.sources import tables as t
 
 NOW = "2024-06-01 12:00:00"
@@ -58,14 +59,14 @@ _NEED = ("stored_messages", "clicks")
 
 @query("fn15_redacted_documents")
 def _(spark, folder):
-    docs = t.load(spark, folder, "documents").withColumn("r", rd.redact_text(F.col("text")))
+    docs = spread(t.load(spark, folder, "documents")).withColumn("r", rd.redact_text(F.col("text")))
     return tidy(docs.select("doc_id", "r.status", "r.text", "r.flags"))
 
 
 @query("fn15_redacted_pairs")
 def _(spark, folder):
     """Each document's first line as the question and its text as the answer."""
-    docs = t.load(spark, folder, "documents").withColumn(
+    docs = spread(t.load(spark, folder, "documents")).withColumn(
         "r", rd.redact_interaction(F.element_at(F.split("text", "\n"), 1), F.col("text"))
     )
     return tidy(docs.select("doc_id", "r.*"))

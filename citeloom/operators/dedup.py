@@ -1,6 +1,7 @@
 """Post-fusion deduplication and diversity limits."""
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from citeloom import fixed
 from citeloom.functions import text as tx
 from citeloom.operators.fusion import HIT, candidate_id
+from citeloom.session import by_question
 
 _DECISION = (
     "query_id string, version_id string, chunk_id string, candidate_id string, rank int, "
@@ -18,11 +20,26 @@ _DECISION = (
 
 def similar(left: str, right: str, *, autojunk: bool = True) -> bool:
     """Near-equal texts; the argument order is (candidate, kept)."""
-    if left == right:
-        return True
-    matcher = difflib.SequenceMatcher(None, left, right, autojunk=autojunk)
-    bound = fixed.NEAR_DUPLICATE_RATIO
-    return matcher.real_quick_ratio() >= bound and matcher.quick_ratio() >= bound and matcher.ratio() >= bound
+    return left == right or (
+        _may_match(left, right)
+        and difflib.SequenceMatcher(None, left, right, autojunk=autojunk).ratio() >= fixed.NEAR_DUPLICATE_RATIO
+    )
+
+
+def _may_match(left: str, right: str) -> bool:
+    """Cheap conditions every pair over the ratio fulfils.
+
+    With T characters in both texts, a ratio r leaves at most (1 - r) T of
+    them unmatched. So the lengths are close, and as each gap between matching
+    blocks costs an unmatched character, enough pairs of neighbouring
+    characters stay intact.
+    """
+    total, bound = len(left) + len(right), fixed.NEAR_DUPLICATE_RATIO
+    if 2 * min(len(left), len(right)) < bound * total:
+        return False
+    pairs = Counter(zip(left, left[1:]))
+    shared = (pairs & Counter(zip(right, right[1:]))).total()
+    return shared >= total / 2 - 1.5 * (1 - bound) * total - 1.001
 
 
 def _decide(limit: int, near_text: bool, autojunk: bool):
@@ -81,7 +98,7 @@ def deduplicate(
         (tx.near_text_key(F.col("text")) if near_text else F.lit("")).alias("near_key"),
     )
     limit = min(limit, fixed.MAX_CANDIDATES)
-    return prepared.groupBy("query_id").applyInPandas(_decide(limit, near_text, autojunk), _DECISION)
+    return by_question(prepared).groupBy("query_id").applyInPandas(_decide(limit, near_text, autojunk), _DECISION)
 
 
 def without_dedup(hits: DataFrame, *, limit: int = fixed.MAX_CANDIDATES) -> DataFrame:

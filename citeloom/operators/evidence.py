@@ -7,6 +7,7 @@ from citeloom import fixed
 from citeloom.functions import safety as sf
 from citeloom.functions import text as tx
 from citeloom.operators import vectors
+from citeloom.session import by_question
 
 
 def rerank(candidates: DataFrame, scorer=None) -> DataFrame:
@@ -15,7 +16,7 @@ def rerank(candidates: DataFrame, scorer=None) -> DataFrame:
     Ties keep the candidate order. Scores are one row-wise function of the
     pair; only the numbering needs the question's rows together.
     """
-    scored = vectors.rerank_scores(candidates, scorer)
+    scored = vectors.rerank_scores(by_question(candidates), scorer)
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank")
     return scored.withColumn("rerank_rank", F.row_number().over(order))
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(app_name: str = "citeloom", master: str | None = None) -> SparkSession:
+def build_session(
+    app_name: str = "citeloom", master: str | None = None, driver_memory: str | None = None
+) -> SparkSession:
     """A session with adaptive execution on and the clock pinned to UTC.
 
     On a cluster ``master`` and memory come from spark-submit; only settings
@@ -25,6 +27,8 @@ def build_session(app_name: str = "citeloom", master: str | None = None) -> Spar
     )
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()
 
 
@@ -74,3 +78,12 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def by_question(df: DataFrame) -> DataFrame:
+    """Rows of a question together, questions over all cores.
+
+    A fixed number of partitions keeps adaptive execution from merging small
+    rows into one task when the work on each is heavy.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "query_id")

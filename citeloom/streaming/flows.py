@@ -204,7 +204,9 @@ def _folder(give_up_ms: int):
             state.remove()
             yield pd.DataFrame([{**_outcome(key[0], events), "well_formed": False}])
             return
+        received = state.getCurrentWatermarkMs()
         for frame in frames:
+            received = max(received, int(frame["received_at"].max().timestamp() * 1000))
             for row in frame.to_dict("records"):
                 event = {name: row[name] if not _missing(row[name]) else None for name in _EVENT_FIELDS}
                 event["seq"] = int(event["seq"])
@@ -218,7 +220,7 @@ def _folder(give_up_ms: int):
             yield pd.DataFrame([_outcome(key[0], events)])
         else:
             state.update((json.dumps(events),))
-            state.setTimeoutDuration(give_up_ms)
+            state.setTimeoutTimestamp(received + give_up_ms)
 
     return fold
 
@@ -231,12 +233,14 @@ def fold_chat_events(stream: DataFrame, *, give_up_ms: int = 3_600_000) -> DataF
     """Outcome of each request once its terminal event and all before it are in.
 
     ``stream``: request_id, seq (from 0), type, text, refused, reason_code,
-    citation_ids. State is one request's events. There is no watermark, which
-    would drop late events; a request that never ends is given up after an
-    hour without news, so state stays bounded.
+    citation_ids. State is one request's events. The watermark is on the time
+    of arrival, so no event is ever late; a request that never ends is given
+    up an hour after its last news, which bounds the state.
     """
     return (
         stream.select("request_id", *_EVENT_FIELDS, "citation_ids")
+        .withColumn("received_at", F.current_timestamp())
+        .withWatermark("received_at", "1 minute")
         .groupBy("request_id")
-        .applyInPandasWithState(_folder(give_up_ms), OUTCOME, "events string", "append", "ProcessingTimeTimeout")
+        .applyInPandasWithState(_folder(give_up_ms), OUTCOME, "events string", "append", "EventTimeTimeout")
     )
