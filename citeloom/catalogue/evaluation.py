@@ -14,8 +14,7 @@ from citeloom.sources import tables as t
 
 
 def expected(spark, folder):
-    rows = t.expected_sources(spark, folder)
-    return rows.select(F.col("query_id").alias("case_id"), F.col("version_id").alias("source_id"))
+    return shared.expected(spark, folder)
 
 
 def cases(spark, folder):
@@ -603,16 +602,14 @@ def _(spark, folder):
 
 @query(
     "set2_stable_ids",
-    """SELECT conv_id, string_agg(w, '|' ORDER BY p) AS ids FROM (SELECT conv_id, w, min(p) AS p FROM (SELECT conv_id, turn * 100000 + generate_subscripts(ws, 1) AS p, trim(unnest(ws)) AS w
-       FROM (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM conversations)) WHERE w <> '' GROUP BY ALL) GROUP BY conv_id""",
+    """SELECT conv_id, turn, string_agg(w, '|' ORDER BY p) AS ids FROM (SELECT conv_id, turn, w, min(p) AS p FROM (SELECT conv_id, turn, generate_subscripts(ws, 1) AS p, trim(unnest(ws)) AS w
+       FROM (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM conversations)) WHERE w <> '' GROUP BY ALL) GROUP BY ALL""",
 )
 def _(spark, folder):
-    """Distinct words of each conversation in order of appearance."""
+    """Distinct words of each turn in order of appearance."""
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    turns = t.load(spark, folder, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", words.alias("w")))).alias("t")
-    )
-    return tidy(turns.select("conv_id", tx.stable_ids(F.flatten("t.w")).alias("ids")))
+    turns = t.load(spark, folder, "conversations")
+    return tidy(turns.select("conv_id", "turn", tx.stable_ids(words).alias("ids")))
 
 
 @query(

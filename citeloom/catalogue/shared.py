@@ -30,6 +30,16 @@ def question_count(spark, folder) -> int:
     return t.load(spark, folder, "benchmark").count()
 
 
+def expected(spark, folder) -> DataFrame:
+    """(case_id, source_id): the versions that hold each benchmark passage."""
+
+    def make():
+        rows = t.expected_sources(spark, folder)
+        return _kept(rows.selectExpr("query_id AS case_id", "version_id AS source_id"), "expected")
+
+    return _once(spark, folder, "expected", make)
+
+
 def branches(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Vector and lexical hits of every benchmark question on active chunks."""
     return _once(

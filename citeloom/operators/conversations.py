@@ -209,7 +209,7 @@ def complete_turns(
     if max_turns < 1 or not 1 <= max_chars <= fixed.HISTORY_CHARS:
         raise ValueError("history limits are out of range")
     linked = previous_rows(
-        messages, "session_id", ["created_at", "ord"], F.to_date("created_at"), ["role", "message_id", "content"]
+        messages, "session_id", ["created_at", "ord"], F.date_trunc("hour", "created_at"), ["role", "message_id", "content"]
     )
     pairs = linked.where(
         (F.col("role") == "assistant")
