@@ -84,7 +84,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     out = shared_dir(spark, "outcomes")
-    folded = flows.fold_chat_events(source(event_log(spark, folder), "chat-events"))
+    folded = flows.fold_chat_events(source(event_log(spark, folder), "chat-events", files=2))
     (
         folded.writeStream.format("parquet")
         .option("checkpointLocation", shared_dir(spark, "cp"))
