@@ -34,7 +34,7 @@ def rows(names: list[str], data) -> list[tuple]:
     return sorted((tuple(_plain(r[i]) for i in order) for r in data), key=repr)
 
 
-KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def difference(spark_df, con, sql: str) -> str | None:
