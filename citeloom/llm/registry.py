@@ -27,5 +27,9 @@ def load_all() -> None:
     from citeloom.llm import (  # noqa: F401
         bpe,
         exact_dedup,
+        minhash,
         mixing,
+        quality,
+        substrings,
+        topk,
     )
