@@ -1,0 +1,83 @@
+import hashlib
+import random
+import re
+
+from brute import documents
+from citeloom.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def accepted(kind, body):
+    digits = re.sub("[^0-9]", "", body)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in body.split("."))
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 10 <= len(digits) <= 15
+
+
+def plain(text):
+    found = []
+    for place, (kind, pattern) in enumerate(PATTERNS.items()):
+        found += [(m.start(), place, m.end()) for m in re.finditer(pattern, text or "") if accepted(kind, m[0])]
+    return sorted(found)
+
+
+def spans(spark, rows):
+    return {r.doc_id: r for r in pii.personal_spans(documents(spark, rows)).collect()}
+
+
+def test_base_spans_against_plain_matching(spark):
+    random.seed(3)
+    pieces = [
+        "a.b@c.de", "x@y", "@", "+", "+1 (771) 555-1655", "+44 20 7946 0958", "4465758382889437", "4111 1111 1111 1111",
+        "4111-1111-1111-1111", "0123", "10.0.0.1", "256.1.1.1", "001.2.3.004", "1.2.3.4.5", " ", "  ", "-", ".", "é", "中",
+        "😀", "a@b.c+d@e.f", "\n", "word", "(", ")", "12 34", "%",
+    ]
+    rows = [(i, "".join(random.choices(pieces, k=random.randrange(1, 14)))) for i in range(400)]
+    rows += [(1000, None), (1001, ""), (1002, "a@" + "b." * 20_000 + "c"), (1003, "1" * 50_000), (1004, "1." * 20_000)]
+    rows += [(1005, "x" * 20_000 + "@y.z"), (1006, "+1" + " 2" * 20_000)]
+    found = spans(spark, rows)
+    for i, text in rows:
+        assert [tuple(s) for s in found[i].base] == plain(text), (i, (text or "")[:200])
+
+
+def test_added_spans(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    random.seed(5)
+    key = lambda: "".join(random.choices("0123456789abcdef", k=32))
+    rows = [(i, " ".join(random.choices(words, k=30))) for i in range(60)]
+    rows += [(100 + i, f'{" ".join(words)} token = "{key()}" {" ".join(words)}') for i in range(40)]
+    rows += [(200 + i, f"{words[0]} version 12.345.678 {words[1]} page 1234 5678 {words[2]}") for i in range(20)]
+    found = spans(spark, rows)
+    for i, text in rows:
+        added = [(pii.KINDS[s.place], text[s.start : s.end]) for s in found[i].added]
+        if 100 <= i < 200:
+            assert added == [("secret", re.search('"(.*)"', text)[1])]
+        else:
+            assert added == []
+
+
+def test_query_columns(spark):
+    rows = documents(spark, [(1, "m a@b.co 10.0.0.1"), (None, None)])
+    folder = pii.personal_spans(rows).select(pii.listed(pii.F.col("base")).alias("x")).collect()
+    assert sorted(r.x for r in folder) == ["", "email:2:8,ip:9:17"]
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_empty_table(spark):
+    assert pii.personal_spans(documents(spark, [])).collect() == []
