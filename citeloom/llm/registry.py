@@ -27,8 +27,11 @@ def load_all() -> None:
     from citeloom.llm import (  # noqa: F401
         bpe,
         exact_dedup,
+        licences,
+        lines,
         minhash,
         mixing,
+        pii,
         quality,
         substrings,
         topk,
