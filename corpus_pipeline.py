@@ -1,15 +1,34 @@
 """Documents to training tokens: bad ones out, repeats out, sources mixed, texts encoded.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is written
-before the next stage reads it.
+before the next stage reads it. All but the last return the columns of
+``documents``; empty tables, null and repeated rows are as the operators say.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, mixing
+from citeloom.llm import bpe, lines, minhash, mixing, quality
+from citeloom.llm.registry import table
 from citeloom.llm.written import written
 
 
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grade classifier selects; fitted on the labelled ones among them."""
+    return quality.selected(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line is similar to; ``n_chars`` counts what is left."""
+    left = lines.without_repeated_lines(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's share takes them."""
     return mixing.mixed(docs)
@@ -21,6 +40,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("select_quality", select_quality),
+    ("drop_repeated_lines", drop_repeated_lines),
+    ("drop_near_duplicates", drop_near_duplicates),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]
@@ -31,7 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
