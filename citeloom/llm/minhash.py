@@ -10,9 +10,12 @@ which is the plain Jaccard similarity where shingles occur once.
 Texts with the same words are one representative. Representatives that agree in
 a whole band of registers meet in a bucket. In a first turn the members of a
 bucket are compared with its smallest and largest member: as many pairs as
-members. Links found so make components, and a second turn compares the pairs
-of a bucket that are still in different components and whose signatures don't
-rule a link out. Every pair is verified on the texts by the exact similarity.
+members. Links found so make components. In some more turns the members outside
+a bucket's main component meet two more of its members, drawn anew each turn,
+so that a large group of variants closes up without its pairs being made. A
+last turn compares all pairs of a bucket that are still in different components
+and whose signatures don't rule a link out. Every pair is verified on the texts
+by the exact similarity.
 
 Recall: a pair at similarity 0.8 shares none of the 25 bands of 5 registers
 with a probability of 5e-5, and less above.
@@ -26,6 +29,7 @@ through :func:`one_of_each`.
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,7 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Bits that differ at a similarity of 0.8: 12.5 on average with a deviation of 3.4; more than this rule it out.
 MOST_APART = 30
+LEADER_TURNS = 3
 COLUMNS = ("row", "node", "bands", "bits_1", "bits_2")
 _HASH = Rolling(3)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -168,43 +173,64 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; ``texts`` has node and text."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = written(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
-    both = pairs.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b")
+    """The pairs (a, b) whose texts are similar; ``texts`` has one text a node."""
+    # Pairs grow with the documents too.
+    pairs = pairs.hint("merge").join(texts.toDF("a", "text_a"), "a")
+    both = pairs.hint("merge").join(texts.toDF("b", "text_b"), "b")
     return both.mapInArrow(_verify, "a long, b long")
 
 
+def _united(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _split(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members, with their component, of the bands that hold several components."""
+    placed = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return written(placed.join(several.select("band"), "band"), "split-bands")
+
+
+def _pairs(one: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """Each pair once, the smaller node first, without those compared before."""
+    ordered = one.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return written(ordered.join(_united(tried), ["a", "b"], "left_anti") if tried else ordered, "near-pairs")
+
+
 def near_links(rows: DataFrame) -> DataFrame:
     """Verified links (a, b) that join all near-duplicate nodes of ``rows`` (node, text, bands, bits)."""
-    texts = rows.select("node", "text")
-    members = rows.select("node", "bands", "bits_1", "bits_2").dropDuplicates(["node"])
-    members = written(members.withColumn("band", F.explode("bands")).drop("bands"), "bands")
+    nodes = rows.select("node", "bands", "bits_1", "bits_2").dropDuplicates(["node"])
+    members = written(nodes.withColumn("band", F.explode("bands")).drop("bands"), "bands")
     ends = members.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    star = members.select("band", "node").join(ends, "band")
-    star = star.select(F.col("low").alias("a"), F.col("node").alias("b")).union(
-        star.select(F.col("node").alias("a"), F.col("high").alias("b"))
-    )
-    tried = written(star.filter("a < b").distinct(), "star-pairs")
-    links = written(verified(tried, texts), "star-links")
-    roots = components(links)
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    placed = written(placed.join(split.select("band"), "band"), "split-bands")
+    members = written(members.join(ends, "band"), "shared-bands")
+    # Both sides grow with the documents: a merge join at every size.
+    wanted = members.select("node").distinct().hint("merge")
+    texts = written(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    star = [members.select(F.col("node").alias("a"), F.col(x).alias("b")) for x in ("low", "high")]
+    tried = [_pairs(_united(star), [])]
+    links = [written(verified(tried[0], texts), "near-links")]
+    members = members.drop("low", "high")
+    for turn in range(LEADER_TURNS):
+        split = _split(members, _united(links))
+        sizes = split.groupBy("band", "root").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("one"),
+            F.max_by("node", F.xxhash64(F.lit(turn), "node")).alias("two"),
+        )
+        main = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "one", "two")).alias("m"))
+        outside = split.join(main, "band").filter("root <> m.root")
+        met = [outside.select(F.col("node").alias("a"), F.col(f"m.{x}").alias("b")) for x in ("one", "two")]
+        pairs = _pairs(_united(met), tried)
+        tried.append(pairs)
+        links.append(written(verified(pairs, texts), "near-links"))
+    split = _split(members, _united(links))
     # One bit a register differs in half of those that disagree.
     apart = F.bit_count(F.expr("x.bits_1 ^ y.bits_1")) + F.bit_count(F.expr("x.bits_2 ^ y.bits_2"))
-    rest = (
-        placed.alias("x")
-        .join(
-            placed.alias("y"),
-            F.expr("x.band = y.band AND x.node < y.node AND x.root <> y.root") & (apart <= MOST_APART),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    rest = split.alias("x").join(
+        split.alias("y"), F.expr("x.band = y.band AND x.node < y.node AND x.root <> y.root") & (apart <= MOST_APART)
     )
-    more = written(verified(written(rest, "rest-pairs"), texts), "rest-links")
-    return links.unionByName(more)
+    rest = _pairs(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), tried)
+    return _united([*links, written(verified(rest, texts), "near-links")])
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
