@@ -6,7 +6,7 @@ similarity of 0.8 or more with it, whether or not that line stays.
 
 Lines with the same set are one, named by two 64-bit hashes, with the earliest
 place. The words of a set are put in order of rarity: counts of all words of
-the corpus, summed in 65,536 hash buckets, make a table of one byte a bucket,
+the corpus, summed in 65,536 hash buckets, make a table of one level a bucket,
 so its size is fixed and any count only moves a word in the order. Two sets of
 sizes a and b with similarity t share at least ``t / (1 + t) * (a + b)`` words,
 so they share one among the first ``n - ceil(t * n) + 1`` of each (prefix
@@ -43,7 +43,8 @@ SEED = 42
 
 def word_hashes(line: Column) -> Column:
     """Hashes of the words, repeats included."""
-    return F.array_remove(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    hashes = F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
+    return F.when(line.rlike("^ |  | $|^$"), F.array_remove(hashes, F.xxhash64(F.lit("")))).otherwise(hashes)
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -53,23 +54,22 @@ def exploded(docs: DataFrame) -> DataFrame:
     )
 
 
-def rarity(docs: DataFrame) -> bytes:
+def rarity(docs: DataFrame) -> Column:
     """A level for each bucket of word hashes: three steps for each doubling of its count."""
-    words = docs.select(F.explode(word_hashes(F.regexp_replace("text", "\n", " "))).alias("h"))
-    counts = words.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).count().collect()
-    levels = bytearray(b"\1" * BUCKETS)
-    for row in counts:
+    words = docs.select(F.explode(F.split(F.lower(F.translate("text", "\n", " ")), " ")).alias("w"))
+    bucket = F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int")
+    levels = [1] * BUCKETS
+    for row in words.groupBy(bucket.alias("bucket")).count().collect():
         levels[row["bucket"]] = min(126, 1 + floor(3 * log2(row["count"] + 1)))
-    return bytes(levels)
+    # A constant array: folded once, then read by place.
+    return F.split(F.lit(",".join(str(x << 56) for x in levels)), ",").cast("array<bigint>")
 
 
-def ordered(hashes: Column, levels: bytes) -> Column:
+def ordered(hashes: Column, levels: Column) -> Column:
     """A word's level and 56 bits of its hash in one number; in order, rarest first."""
 
     def key(h: Column) -> Column:
-        at = h.bitwiseAND(BUCKETS - 1).cast("int") + 1
-        level = F.ascii(F.substring(F.lit(levels), at, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
@@ -79,13 +79,14 @@ def needed(size: Column) -> Column:
     return F.ceil(size * PERCENT / 100 - 1e-9).cast("int")
 
 
-def sets_of_lines(docs: DataFrame, levels: bytes) -> DataFrame:
+def sets_of_lines(docs: DataFrame, levels: Column) -> DataFrame:
     """(doc_id, line_no, k1, k2, n, bits, prefix) of the lines that have words."""
     keys = exploded(docs).select("doc_id", "line_no", ordered(word_hashes(F.col("line")), levels).alias("words"))
-    bit = F.aggregate(
+    one = F.lit(1).cast("long")
+    bits = F.aggregate(
         "words",
         F.lit(0).cast("long"),
-        lambda held, w: held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))),
+        lambda held, w: held.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))),
     )
     size = F.size("words")
     return keys.filter(size > 0).select(
@@ -94,7 +95,7 @@ def sets_of_lines(docs: DataFrame, levels: bytes) -> DataFrame:
         F.xxhash64("words").alias("k1"),
         F.xxhash64(F.lit(SEED), "words").alias("k2"),
         size.alias("n"),
-        bit.alias("bits"),
+        bits.alias("bits"),
         F.slice("words", F.lit(1), size - needed(size) + 1).alias("prefix"),
     )
 
@@ -119,16 +120,16 @@ def may_match(a: str, b: str) -> Column:
     return (shorter * 100 >= longer * PERCENT) & (reach >= overlap) & (flipped <= both - 2 * overlap)
 
 
-def postings(sets: DataFrame, most: int | None = None) -> DataFrame:
-    """(word, k1, n, bits, place, first) for the words of the prefixes, or the rarest ``most`` of them."""
+def postings(sets: DataFrame, most: int | None, *columns: str) -> DataFrame:
+    """(word, k1, n, bits, place) for the words of the prefixes, or the rarest ``most`` of them."""
     words = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-    rows = sets.select("k1", "n", "bits", "first", F.posexplode(words).alias("at", "word"))
-    return rows.select("word", "k1", "n", "bits", (F.col("at") + 1).alias("place"), "first")
+    rows = sets.select("k1", "n", "bits", *columns, F.posexplode(words).alias("at", "word"))
+    return rows.select("word", "k1", "n", "bits", (F.col("at") + 1).alias("place"), *columns)
 
 
 def neighbours(sets: DataFrame) -> DataFrame:
     """(later, earlier): each set with the earliest and the preceding one for its rarest words."""
-    rows = postings(sets, RAREST).withColumn("me", F.struct("n", "place", "bits"))
+    rows = postings(sets, RAREST, "first").withColumn("me", F.struct("n", "place", "bits"))
     by_place = Window.partitionBy("word").orderBy("first")
     other = F.struct("k1", "n", "place", "bits")
     near = rows.select(
@@ -141,16 +142,15 @@ def neighbours(sets: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(later) of the pairs (later, earlier) whose words are similar."""
-    pairs = written(pairs, "line-pairs")
     wanted = pairs.select(F.col("later").alias("k1")).union(pairs.select("earlier")).distinct()
     places = written(sets.select("k1", "first.doc_id", "first.line_no").join(wanted, "k1"), "line-places")
     here = places.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "line_no")).alias("asked"))
+    # Places grow with the documents: a merge join at every size.
     texts = (
         docs.filter("text IS NOT NULL")
-        .select("doc_id", F.split("text", "\n", -1).alias("lines"))
         .alias("d")
-        .join(here.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")))
-        .select("lines", F.explode("asked").alias("a"))
+        .join(here.hint("merge").alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")))
+        .select(F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a"))
         .select("a.k1", F.get("lines", F.col("a.line_no")).alias("line"))
         .select("k1", F.array_distinct(F.array_remove(F.split(F.lower("line"), " "), "")).alias("words"))
     )
@@ -164,20 +164,26 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): the line numbers that go, for the documents that lose any."""
     lines = written(sets_of_lines(docs, rarity(docs)), "line-sets")
-    sets = distinct_sets(lines)
-    matched = written(verified(neighbours(sets), sets, docs), "lines-matched")
-    asking = sets.join(matched.withColumnRenamed("later", "k1"), "k1", "left_anti")
+    sets = written(distinct_sets(lines), "distinct-sets")
+    pairs = written(neighbours(sets), "line-pairs")
+    matched = written(verified(pairs, sets, docs), "lines-matched")
+    known = matched.select(F.col("later").alias("k1"), F.lit(False).alias("asks"))
+    asking = sets.drop("first", "k2").join(known, "k1", "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
+    # Both sides are the same rows, so they are shuffled once; which set is the earlier comes after.
+    rows = postings(asking, None, "asks")
+    met = rows.alias("a").join(rows.alias("b"), F.expr("a.word = b.word AND a.k1 <> b.k1 AND a.asks") & may_match("a", "b"))
+    met = written(met.select(F.col("a.k1").alias("later"), F.col("b.k1").alias("earlier")).distinct(), "line-pairs")
+    places = sets.select("k1", "first")
     pairs = (
-        postings(sets)
-        .alias("b")
-        .join(postings(asking).alias("a"), (F.expr("a.word = b.word AND b.first < a.first")) & may_match("a", "b"))
-        .select(F.col("a.k1").alias("later"), F.col("b.k1").alias("earlier"))
-        .distinct()
+        met.join(places.toDF("later", "place"), "later")
+        .join(places.toDF("earlier", "before"), "earlier")
+        .filter("before < place")
+        .select("later", "earlier")
     )
-    more = written(verified(pairs, sets, docs), "lines-matched")
+    more = written(verified(written(pairs, "line-pairs"), sets, docs), "lines-matched")
     going = matched.unionByName(more).distinct().select(F.col("later").alias("k1"), F.lit(True).alias("going"))
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    placed = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, ["k1", "k2"]).join(going, "k1", "left")
+    marks = sets.select("k1", "k2", "first").join(going, "k1", "left")
+    placed = lines.select("doc_id", "line_no", "k1", "k2").join(marks, ["k1", "k2"])
     here = F.struct("doc_id", "line_no")
     return placed.filter(F.col("going") | (here != F.col("first"))).groupBy("doc_id").agg(
         F.collect_set("line_no").alias("gone")
