@@ -10,12 +10,12 @@ which is the plain Jaccard similarity where shingles occur once.
 Texts with the same words are one representative. Representatives that agree in
 a whole band of registers meet in a bucket. In a first turn the members of a
 bucket are compared with its smallest and largest member: as many pairs as
-members. Links found so make components. In some more turns the members outside
-a bucket's main component meet two more of its members, drawn anew each turn,
-so that a large group of variants closes up without its pairs being made. A
-last turn compares all pairs of a bucket that are still in different components
-and whose signatures don't rule a link out. Every pair is verified on the texts
-by the exact similarity.
+members. Links found so make components. In a second turn the members outside a
+bucket's main component meet a few more of its members, drawn by a hash, so that
+a large group of variants closes up without its pairs being made. The last turn
+compares all pairs of a bucket that are still in different components and whose
+signatures don't rule a link out. Every pair is verified on the texts by the
+exact similarity.
 
 Recall: a pair at similarity 0.8 shares none of the 25 bands of 5 registers
 with a probability of 5e-5, and less above.
@@ -49,7 +49,7 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Bits that differ at a similarity of 0.8: 12.5 on average with a deviation of 3.4; more than this rule it out.
 MOST_APART = 30
-LEADER_TURNS = 3
+LEADERS = 6
 COLUMNS = ("row", "node", "bands", "bits_1", "bits_2")
 _HASH = Rolling(3)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -158,18 +158,21 @@ def signed(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _sets(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weighted sets of texts; one that comes often is worked out once."""
+    places = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    owner, shingle, weight = weighted_shingles([plain_words(t) for t in places])
+    bounds = np.searchsorted(owner, np.arange(len(places) + 1))
+    found = [(shingle[i:j], weight[i:j]) for i, j in zip(bounds, bounds[1:])]
+    return [found[places[t]] for t in texts]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, size in slices(batch["text_a"]):
             part = batch.slice(start, size)
-            sides = []
-            for name in ("text_a", "text_b"):
-                texts = [plain_words(t) for t in part[name].to_pylist()]
-                owner, shingle, weight = weighted_shingles(texts)
-                bounds = np.searchsorted(owner, np.arange(size + 1))
-                sides.append([(shingle[i:j], weight[i:j]) for i, j in zip(bounds, bounds[1:])])
-            linked = pa.array([similarity(x, y) >= LEAST for x, y in zip(*sides)])
-            yield part.select(["a", "b"]).filter(linked)
+            sides = zip(*(_sets(part[name].to_pylist()) for name in ("text_a", "text_b")))
+            yield part.select(["a", "b"]).filter(pa.array([similarity(x, y) >= LEAST for x, y in sides]))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -210,24 +213,23 @@ def near_links(rows: DataFrame) -> DataFrame:
     tried = [_pairs(_united(star), [])]
     links = [written(verified(tried[0], texts), "near-links")]
     members = members.drop("low", "high")
-    for turn in range(LEADER_TURNS):
-        split = _split(members, _united(links))
-        sizes = split.groupBy("band", "root").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("one"),
-            F.max_by("node", F.xxhash64(F.lit(turn), "node")).alias("two"),
-        )
-        main = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "one", "two")).alias("m"))
-        outside = split.join(main, "band").filter("root <> m.root")
-        met = [outside.select(F.col("node").alias("a"), F.col(f"m.{x}").alias("b")) for x in ("one", "two")]
-        pairs = _pairs(_united(met), tried)
-        tried.append(pairs)
-        links.append(written(verified(pairs, texts), "near-links"))
     split = _split(members, _united(links))
+    drawn = [F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(LEADERS)]
+    sizes = split.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.array(*drawn).alias("leaders"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "leaders")).alias("m"))
+    outside = split.join(main, "band").filter("root <> m.root")
+    met = outside.select(F.col("node").alias("a"), F.explode(F.array_distinct("m.leaders")).alias("b"))
+    tried.append(_pairs(met, tried))
+    links.append(written(verified(tried[1], texts), "near-links"))
+    split = _split(members, _united(links))
+    # Nodes share many bands; a pair is made at the first of them only.
+    split = split.join(rows.select("node", F.array_sort("bands").alias("bands")).dropDuplicates(["node"]), "node")
+    first = F.array_min(F.array_intersect("x.bands", "y.bands"))
     # One bit a register differs in half of those that disagree.
     apart = F.bit_count(F.expr("x.bits_1 ^ y.bits_1")) + F.bit_count(F.expr("x.bits_2 ^ y.bits_2"))
     rest = split.alias("x").join(
-        split.alias("y"), F.expr("x.band = y.band AND x.node < y.node AND x.root <> y.root") & (apart <= MOST_APART)
+        split.alias("y"),
+        F.expr("x.band = y.band AND x.node < y.node AND x.root <> y.root") & (apart <= MOST_APART) & (first == F.col("x.band")),
     )
     rest = _pairs(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), tried)
     return _united([*links, written(verified(rest, texts), "near-links")])
