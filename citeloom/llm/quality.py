@@ -32,7 +32,7 @@ from citeloom.llm.texts import bodies, joined, runs, slices
 from citeloom.llm.written import fresh
 
 #: Most labelled rows that the model is fitted on.
-SAMPLE = 12_000
+SAMPLE = 8000
 GRADES = 3
 WORD_BITS = 17
 KINDS = 12
@@ -191,17 +191,13 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # Repeated documents can't push the rows beyond their bound.
     found = rows.mapInArrow(_sparse, "grade int, features binary, values binary")
     found = found.orderBy(F.xxhash64("features", "values")).limit(sample).collect()
-    found = sorted(found, key=lambda r: (r["grade"], bytes(r["features"])))
-    ids = [np.frombuffer(r["features"], "<i4") for r in found]
-    values = [np.frombuffer(r["values"], "<f4") for r in found]
-    text = np.repeat(np.arange(len(found)), [len(x) for x in ids])
-    none = [np.zeros(0)]
-    return fit(
-        text,
-        np.concatenate(ids + none).astype(np.int64),
-        np.concatenate(values + none).astype(np.float64),
-        np.array([r["grade"] for r in found], np.int64),
-    )
+    found.sort(key=lambda r: (r["grade"], bytes(r["features"])))
+    sizes = [len(r["features"]) // 4 for r in found]
+    grade = np.array([r["grade"] for r in found], np.int64)
+    feature = np.frombuffer(b"".join(r["features"] for r in found), "<i4")
+    value = np.frombuffer(b"".join(r["values"] for r in found), "<f4")
+    del found
+    return fit(np.repeat(np.arange(len(grade), dtype=np.int32), sizes), feature, value, grade)
 
 
 def graded(docs: DataFrame, model: Model, tails: list[str]) -> DataFrame:
