@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.registry import query, table
 
 LEAST = 0.8
+PASSAGES = "array<struct<kind:string,place:int,words:string,n:int>>"
 #: Notices and texts by which works name their licence.
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -97,11 +98,15 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def bigrams(words: Column) -> Column:
-    """Two words that follow each other, from :func:`plain` text; empty below two words."""
-    split = F.split(words, " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(split) - 1), lambda i: F.concat_ws(" ", split[i - 1], split[i]))
-    return F.when(F.size(split) > 1, pairs).otherwise(F.array().cast("array<string>"))
+def with_bigrams(rows: DataFrame, words: Column) -> DataFrame:
+    """``rows`` with ``pairs``: two words that follow each other; empty below two words.
+
+    The words are a column of their own, so they are split once a row.
+    """
+    rows = rows.withColumn("split", F.split(words, " "))
+    last = F.size("split") - 1
+    pairs = F.zip_with(F.slice("split", F.lit(1), last), F.slice("split", F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
+    return rows.withColumn("pairs", pairs).drop("split")
 
 
 def bounds(size: int, least: float = LEAST) -> tuple[int, int]:
@@ -112,7 +117,7 @@ def bounds(size: int, least: float = LEAST) -> tuple[int, int]:
 def template_bigrams(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> tuple[DataFrame, list[tuple[int, int]]]:
     """(template, licence, size, fewest, most, bigram, repeats), and all bounds."""
     rows = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, licence string, text string")
-    sized = rows.select("template", "licence", bigrams(plain(F.col("text"))).alias("pairs")).collect()
+    sized = with_bigrams(rows, plain(F.col("text"))).collect()
     flat, all_bounds = [], []
     for t in sized:
         fewest, most = bounds(len(t["pairs"]))
@@ -124,24 +129,32 @@ def template_bigrams(spark: SparkSession, templates: tuple[tuple[str, str], ...]
     return spark.createDataFrame(flat, schema), all_bounds
 
 
-def passages(text: Column) -> Column:
-    """array<struct<kind, place, words>>: lines, then paragraphs, then the whole text."""
-    lines = F.transform(F.split(text, "\n"), plain)
-    paragraphs = F.split(F.array_join(lines, "\n"), "\n\n+")
-    several = F.filter(
-        F.transform(paragraphs, lambda p, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("place"), p.alias("words"))),
-        lambda p: p["words"].contains("\n"),
-    )
-    whole = F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("place"), F.array_join(lines, " ").alias("words")))
-    return F.concat(
-        F.transform(lines, lambda w, i: F.struct(F.lit("line").alias("kind"), i.alias("place"), w.alias("words"))),
-        F.transform(
-            several,
-            lambda p: F.struct(p["kind"], p["place"], F.trim(F.replace(p["words"], F.lit("\n"), F.lit(" "))).alias("words")),
-        ),
-        F.when(F.size(paragraphs) > 1, F.transform(whole, lambda p: F.struct(p["kind"], p["place"], F.trim(F.regexp_replace(p["words"], " +", " ")).alias("words")))).otherwise(
-            F.array().cast("array<struct<kind:string,place:int,words:string>>")
-        ),
+def passages(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, passages) from (row, doc_id, text): an array<struct<kind, place, words, n>>.
+
+    Lines come first, then paragraphs of several lines, then the whole text if
+    it has several paragraphs; n counts bigrams.
+    """
+
+    def passage(kind: str, place: Column, words: Column) -> Column:
+        n = F.length(words) - F.length(F.replace(words, F.lit(" ")))
+        return F.struct(F.lit(kind).alias("kind"), place.alias("place"), words.alias("words"), n.cast("int").alias("n"))
+
+    lined = rows.withColumn("lines", F.transform(F.split("text", "\n"), plain)).drop("text")
+    parted = lined.withColumn("paragraphs", F.split(F.array_join("lines", "\n"), "\n\n+"))
+    numbered = F.transform("paragraphs", lambda p, i: F.struct(i.alias("place"), p.alias("body")))
+    several = F.filter(numbered, lambda p: p["body"].contains("\n"))
+    joined = F.transform(several, lambda p: F.struct(p["place"], F.trim(F.translate(p["body"], "\n", " ")).alias("words")))
+    whole = F.when(F.size("paragraphs") > 1, F.array(F.array_join(F.filter("lines", lambda w: w != ""), " ")))
+    held = parted.select("row", "doc_id", "lines", joined.alias("joined"), whole.alias("whole"))
+    return held.select(
+        "row",
+        "doc_id",
+        F.concat(
+            F.transform("lines", lambda w, i: passage("line", i, w)),
+            F.transform("joined", lambda p: passage("paragraph", p["place"], p["words"])),
+            F.coalesce(F.transform("whole", lambda w: passage("text", F.lit(0), w)), F.array().cast(PASSAGES)),
+        ).alias("passages"),
     )
 
 
@@ -158,17 +171,16 @@ def licence_passages(
             spans.append([low, high])
 
     def of_some_size(p: Column) -> Column:
-        count = F.length(p["words"]) - F.length(F.replace(p["words"], F.lit(" ")))
         fits = F.lit(False)
         for low, high in spans:
-            fits = fits | count.between(max(low, 1), high)
+            fits = fits | p["n"].between(max(low, 1), high)
         return fits
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    found = rows.select("row", "doc_id", F.explode(F.filter(passages(F.col("text")), of_some_size)).alias("p"))
-    pairs = found.select("row", "doc_id", "p.kind", "p.place", bigrams(F.col("p.words")).alias("pairs"))
-    pairs = pairs.select("row", "doc_id", "kind", "place", F.size("pairs").alias("n"), F.explode("pairs").alias("bigram"))
+    found = passages(rows).select("row", "doc_id", F.explode(F.filter("passages", of_some_size)).alias("p"))
+    pairs = with_bigrams(found.select("row", "doc_id", "p.*"), F.col("words"))
+    pairs = pairs.select("row", "doc_id", "kind", "place", "n", F.explode("pairs").alias("bigram"))
     # A fixed list: its size has nothing to do with the documents.
     shared = pairs.join(F.broadcast(known), "bigram").filter(F.col("n").between(F.col("fewest"), F.col("most")))
     passage = ["row", "doc_id", "kind", "place", "n", "template", "licence", "size"]
