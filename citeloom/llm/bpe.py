@@ -20,8 +20,8 @@ through, and a clashing name for a result is refused.
 import base64
 import re
 import struct
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.llm.registry import query, table
+from citeloom.llm.texts import slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 NEVER = 1 << 60
 #: Most entries of the memos of a worker.
-MEMO, FITS, LONGEST_WORD = 400_000, 2_000_000, 64
+MEMO, FITS, LONGEST_WORD = 150_000, 400_000, 64
 #: Matches that need no look at the pattern: Latin letters only, with a space before them or not.
 PLAIN_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
@@ -56,15 +57,20 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.lengths = [len(self.tokens.get(rank, b"")) for rank in range(max(self.tokens, default=0) + 1)]
         self.pattern = regex.compile(pattern)
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
-        self.automaton.make_automaton()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._shorter: dict[int, int | None] = {}
         self._fits: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Made when first used: a worker that only decodes does without."""
+        found = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            found.add_word(token.decode("latin-1"), rank)
+        found.make_automaton()
+        return found
+
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
         if token not in self._halves:
@@ -197,32 +203,49 @@ def _rank_file(path: str | None) -> str:
     return path or public_tokenizers.path(RANKS)
 
 
-def _with(batch: pa.RecordBatch, values: Iterator[bytes | None]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], [*batch.schema.names, "_"])
-
-
-def _mapped(docs: DataFrame, source: str, result: str, step) -> DataFrame:
-    if result.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"there is a column {result} already")
+def _mapped(docs: DataFrame, source: str, steps: dict[str, Callable]) -> DataFrame:
+    """``docs`` and a binary column for each step; a step takes what the one before it made."""
+    if {c.lower() for c in steps} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column of {', '.join(steps)} already")
     at = docs.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # A row at a time: the values of a batch may be long.
-            yield _with(batch, (step(x.as_py()) for x in batch.column(at)))
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(result, T.BinaryType())])
+            for start, size in slices(batch.column(at)):
+                part = batch.slice(start, size)
+                made, columns = part.column(at).to_pylist(), list(part.columns)
+                for step in steps.values():
+                    made = [step(x) for x in made]
+                    columns.append(pa.array(made, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *steps])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.BinaryType()) for c in steps)])
     return docs.mapInArrow(run, schema)
 
 
+def _encoder(path: str | None) -> Callable:
+    return lambda x: vocabulary(_rank_file(path)).encode(x or "")
+
+
+def _decoder(path: str | None) -> Callable:
+    return lambda x: vocabulary(_rank_file(path)).decode(x or b"")
+
+
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` and the packed ids of ``text``."""
-    return _mapped(docs, text, ids, lambda x: vocabulary(_rank_file(path)).encode(x or ""))
+    return _mapped(docs, text, {ids: _encoder(path)})
 
 
 def decoded(docs: DataFrame, path: str | None = None, ids: str = "ids", body: str = "decoded") -> DataFrame:
     """``docs`` and the bytes that packed ``ids`` stand for."""
-    return _mapped(docs, ids, body, lambda x: vocabulary(_rank_file(path)).decode(x or b""))
+    return _mapped(docs, ids, {body: _decoder(path)})
+
+
+def round_trip(
+    docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", body: str = "decoded"
+) -> DataFrame:
+    """:func:`encoded` and :func:`decoded` in one pass, by one worker."""
+    return _mapped(docs, text, {ids: _encoder(path), body: _decoder(path)})
 
 
 def id_list(ids) -> list[int]:
@@ -233,8 +256,7 @@ def id_list(ids) -> list[int]:
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decoded(encoded(docs).drop("text"))
-    return both.select(
+    return round_trip(docs).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from citeloom.llm.components import components
 from citeloom.llm.registry import query, table
-from citeloom.llm.rolling import Rolling, mix
+from citeloom.llm.rolling import TEXT, mix
 from citeloom.llm.texts import joined, runs, slices
 from citeloom.llm.written import fresh, written
 
@@ -51,7 +51,6 @@ REGISTERS = BANDS * ROWS
 MOST_APART = 30
 LEADERS = 6
 COLUMNS = ("row", "node", "bands", "bits_1", "bits_2")
-_HASH = Rolling(3)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,7 +70,7 @@ def weighted_shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarr
     owner = np.repeat(np.arange(len(texts)), count)
     place = first[owner] + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
     last = np.minimum(place + size, (first + words)[owner]) - 1
-    hashes = _HASH.windows(_HASH.sums(data), begin[place], end[last])
+    hashes = TEXT.windows(TEXT.sums(data), begin[place], end[last])
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     new = np.ones(len(owner), bool)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.llm.registry import query, table
-from citeloom.llm.rolling import Rolling, mix
+from citeloom.llm.rolling import TEXT, mix
 from citeloom.llm.texts import bodies, joined, runs, slices
 from citeloom.llm.written import fresh
 
@@ -56,7 +56,6 @@ def _kind_table() -> np.ndarray:
 KIND = _kind_table()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-_HASH = Rolling(2)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +63,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, starts = joined(texts)
     n, kinds = len(texts), KIND[data]
     word_from, word_to = runs((kinds == 7) | (kinds == 8) | (kinds >= 10))
-    sums = _HASH.sums(LOWER[data])
-    words = _HASH.windows(sums, word_from, word_to)
+    sums = TEXT.sums(LOWER[data])
+    words = TEXT.windows(sums, word_from, word_to)
     doc = np.searchsorted(starts, word_from, "right") - 1
     parts = []
     # Whole words, and their beginnings: forms of a rare word share those.
@@ -74,7 +73,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if length is not None:
             longer = word_to - word_from > length
             of = doc[longer]
-            hashes = _HASH.windows(sums, word_from[longer], word_from[longer] + length) + np.uint64(length)
+            hashes = TEXT.windows(sums, word_from[longer], word_from[longer] + length) + np.uint64(length)
         codes, counts = np.unique((of << WORD_BITS) | (mix(hashes) >> np.uint64(64 - WORD_BITS)).astype(np.int64), return_counts=True)
         at, weight = codes >> WORD_BITS, 1 + np.log(counts)
         weight /= np.sqrt(np.bincount(at, weight**2, n))[at]
@@ -92,7 +91,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if hashes is None:
             first = np.arange(max(0, len(words) - size + 1))
             first = first[doc[first] == doc[first + size - 1]]
-            hashes, of = _HASH.windows(sums, word_from[first], word_to[first + size - 1]), doc[first]
+            hashes, of = TEXT.windows(sums, word_from[first], word_to[first + size - 1]), doc[first]
         else:
             of = doc
         total = np.bincount(of, minlength=n)

@@ -34,7 +34,7 @@ class Rolling:
 
     def _reach(self, n: int) -> None:
         if len(self._powers) < n:
-            n = max(n, 2 * len(self._powers))
+            n += n // 4
             for name, base in (("_powers", self.base), ("_inverses", pow(self.base, -1, 1 << 64))):
                 factors = np.full(n, base, np.uint64)
                 factors[0] = 1
@@ -50,3 +50,7 @@ class Rolling:
     def windows(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Fingerprints of the windows ``[start, end)``."""
         return mix((sums[ends] - sums[starts]) * self._inverses[starts])
+
+
+#: The family for words and shingles: one table of powers a worker.
+TEXT = Rolling(2)

@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; one longer text is a slice of its own.
 SLICE = 2 << 20
@@ -11,7 +12,7 @@ SLICE = 2 << 20
 
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs of ``column`` with about ``limit`` bytes."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for row, size in enumerate(sizes.tolist()):
         if row > start and held + size > limit:

@@ -21,6 +21,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         empty = pa.table({f: pa.array([], t) for f, t in (("query_id", pa.int64()), ("twin", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64()))})
         if not len(left) or not len(right):
             return empty
-        width = max(pa.compute.max(pa.compute.list_value_length(t["ints"])).as_py() for t in (left, right))
+        width = max(pc.max(pc.list_value_length(t["ints"])).as_py() for t in (left, right))
         width = max(1, ceil(width / LEVELS[-1])) * LEVELS[-1]
         null = right["vec_id"].is_null().to_numpy()
         ids = right["vec_id"].fill_null(0).to_numpy()

@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document (packed), and the bytes they decode to."""
-    return bpe.decoded(bpe.encoded(docs)).drop("text")
+    return bpe.round_trip(docs).drop("text")
 
 
 STAGES = [
