@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from citeloom import fixed
 from citeloom.catalogue import query
 from citeloom.catalogue.shared import branches, question_count, selected
-from citeloom.catalogue.sqlbase import fold, sql
+from citeloom.catalogue.sqlbase import fold, greedy_fold, near_views, sql
 from citeloom.catalogue.tidy import tidy
 from citeloom.functions import safety as sf
 from citeloom.functions import text as tx
@@ -359,22 +359,22 @@ def _(spark, folder):
 # --- deduplication ----------------------------------------------------------------
 
 
-@query("win2_greedy_dedup")
+_DECISIONS = """
+  SELECT case_id AS query_id, content_hash AS candidate_id, rank, reason IS NULL AS kept,
+         CASE WHEN reason IS NULL THEN sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY rank)::BIGINT END AS kept_rank, reason, kept_candidate_id
+  FROM {0} WHERE arm = '{1}' AND rank > 0"""
+
+
+@query("win2_greedy_dedup", sql(_DECISIONS.format("arm_fold", "hybrid"), "arm_fold"))
 def _(spark, folder):
-    hits = fusion.fused_hits(fusion.fuse(*branches(spark, folder)))
+    hits = fusion.choose_strategy("hybrid", *branches(spark, folder))
     rows = dedup.deduplicate(hits)
     return tidy(rows, "query_id", "candidate_id", "rank", "kept", "kept_rank", "reason", "kept_candidate_id")
 
 
 @query(
     "win2_hash_heading_dedup",
-    sql(
-        """
-  SELECT case_id AS query_id, content_hash AS candidate_id, rank, reason IS NULL AS kept,
-         CASE WHEN reason IS NULL THEN sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY rank)::BIGINT END AS kept_rank, reason, kept_candidate_id
-  FROM arm_decisions WHERE arm = 'vector'""",
-        "arm_decisions",
-    ),
+    sql(_DECISIONS.format("hash_fold", "vector"), "hash_fold"),
 )
 def _(spark, folder):
     """The fold without the near-text test, on a branch that repeats hashes."""
@@ -418,14 +418,15 @@ _GOVERNED = {
     "gf": """SELECT query_id, content_hash, arg_min(version_id, branch = 'l') AS version_id, arg_min(chunk_id, branch = 'l') AS chunk_id, arg_min(file_name || '/' || heading, branch = 'l') AS head,
       sum(1e0 / (60 + br)) AS score FROM gr GROUP BY ALL""",
     "gh": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id, chunk_id, content_hash) AS rank FROM gf QUALIFY rank <= 20""",
-    "gk": "SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY rank) AS nth FROM gh",
 }
+_GOVERNED |= {n: body for n, (_, body) in near_views("g", "gh", "x.query_id = y.query_id").items()}
+_GOVERNED["gk"] = greedy_fold("gk", "gh", "g_near", "query_id", "true")
 
 
 @query(
     "jn5_governed_candidates",
     sql(
-        "SELECT query_id, version_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM gk WHERE nth <= 2",
+        "SELECT query_id, version_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM gk JOIN gh USING (query_id, version_id, chunk_id, rank) WHERE reason IS NULL",
         "requests",
         "metadata",
         "postings",
@@ -443,7 +444,6 @@ def _(spark, folder):
         t.business_metadata(spark, folder),
         strategy="hybrid",
         n_queries=question_count(spark, folder),
-        near_text=False,
     )
     return tidy(rows, "query_id", "version_id", "chunk_id", "score", "rank")
 

@@ -58,7 +58,7 @@ def selected(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     def make():
         vector, words = branches(spark, folder)
         combined = fusion.choose_strategy("hybrid", vector, words)
-        kept = dedup.retained(combined, dedup.deduplicate(combined, near_text=False))
+        kept = dedup.retained(combined, dedup.deduplicate(combined))
         candidates = _kept(kept, "candidates")
         reranked, shown = ask.evidence_table(candidates, t.questions(spark, folder))
         reranked = _kept(reranked, "reranked")
@@ -72,7 +72,7 @@ def arms(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
     def make():
         questions = t.questions(spark, folder)
-        candidates, drops, facts = assess.arms_from(*branches(spark, folder), near_text=False)
+        candidates, drops, facts = assess.arms_from(*branches(spark, folder))
         candidates = _kept(candidates, "arm-candidates")
         evidence = _kept(assess.arm_evidence(candidates, questions), "arm-evidence")
         return candidates, evidence, _kept(drops, "arm-drops"), facts

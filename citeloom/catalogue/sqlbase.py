@@ -26,7 +26,7 @@ def sql(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
         f"{n} AS {'' if 'RECURSION' in VIEWS[n][1] else 'MATERIALIZED '}({VIEWS[n][1].replace('--RECURSION', '')})"
         for n in ordered
     ]
-    parts += [f"{n} AS ({s})" for n, s in (extra or {}).items()]
+    parts += [f"{n} AS {'' if 'RECURSION' in s else 'MATERIALIZED '}({s})" for n, s in (extra or {}).items()]
     if body.lstrip().startswith("WITH"):
         body = f"SELECT * FROM ({body})"
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
@@ -39,6 +39,77 @@ def fold(expression: str) -> str:
     return FOLD.format(expression)
 
 
+def near_views(prefix: str, lists: str, same: str, *needs: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Views that end in ``{prefix}_near`` (content_hash, kept_hashes): near-equal texts that share a list.
+
+    Two keys are near when twice the characters in their matching blocks is at
+    least 85 % of both lengths. Blocks are found largest first, the earliest of
+    equals, then left and right of it; in a text of 200 characters or more a
+    character that makes over 1 % of it cannot start a block, only extend one;
+    where nothing can start one, what both begin with is the block.
+    Pairs that lengths or shared neighbouring characters rule out come first.
+    """
+    p = prefix
+    return {
+        f"{p}_keys": (
+            ("active_chunks", *needs),
+            rf"""SELECT content_hash, any_value(regexp_replace({fold("text")}, '[^\p{{L}}\p{{N}}_]', '', 'g')) AS key
+  FROM active_chunks WHERE content_hash IN (SELECT content_hash FROM {lists}) GROUP BY content_hash""",
+        ),
+        f"{p}_met": (
+            (f"{p}_keys",),
+            f"""SELECT DISTINCT x.content_hash AS lh, y.content_hash AS rh FROM {lists} x JOIN {lists} y ON {same} AND y.rank < x.rank AND x.content_hash <> y.content_hash""",
+        ),
+        f"{p}_grams": (
+            (f"{p}_keys",),
+            f"SELECT content_hash, substr(key, i, 2) AS g, count(*) AS n FROM (SELECT content_hash, key, unnest(range(1, length(key))) AS i FROM {p}_keys) GROUP BY ALL",
+        ),
+        f"{p}_likely": (
+            (f"{p}_met", f"{p}_grams"),
+            f"""WITH m AS (SELECT lh, rh, a.key AS a, b.key AS b, length(a.key) + length(b.key) AS total FROM {p}_met JOIN {p}_keys a ON a.content_hash = lh JOIN {p}_keys b ON b.content_hash = rh
+      WHERE 2 * least(length(a.key), length(b.key)) >= 0.85 * (length(a.key) + length(b.key))),
+    s AS (SELECT lh, rh, sum(least(x.n, y.n)) AS shared FROM m JOIN {p}_grams x ON x.content_hash = lh JOIN {p}_grams y ON y.content_hash = rh AND y.g = x.g GROUP BY ALL)
+  SELECT lh, rh, a, b, string_split(a, '') AS la, string_split(b, '') AS lb FROM m LEFT JOIN s USING (lh, rh) WHERE a <> b AND coalesce(shared, 0) >= total / 2 - 0.225 * total - 1.001""",
+        ),
+        f"{p}_cells": (
+            (f"{p}_likely",),
+            f"""WITH l AS (SELECT lh, rh, i, la[i + 1] AS c FROM (SELECT lh, rh, la, unnest(range(len(la))) AS i FROM {p}_likely)),
+    r AS (SELECT lh, rh, j, lb[j + 1] AS c, len(lb) AS n FROM (SELECT lh, rh, lb, unnest(range(len(lb))) AS j FROM {p}_likely)),
+    k AS (SELECT lh, rh, c FROM r GROUP BY lh, rh, c, n HAVING n < 200 OR count(*) <= n // 100 + 1),
+    e AS (SELECT lh, rh, i, j FROM r JOIN k USING (lh, rh, c) JOIN l USING (lh, rh, c)),
+    g AS (SELECT *, i - row_number() OVER (PARTITION BY lh, rh, i - j ORDER BY i) AS core FROM e)
+  SELECT lh, rh, i, j, row_number() OVER (PARTITION BY lh, rh, i - j, core ORDER BY i) AS run FROM g""",
+        ),
+        f"{p}_blocks": (
+            (f"{p}_cells",),
+            f"""--RECURSION
+  SELECT lh, rh, 0::BIGINT AS alo, len(la)::BIGINT AS ahi, 0::BIGINT AS blo, len(lb)::BIGINT AS bhi, 0::BIGINT AS size FROM {p}_likely
+  UNION ALL
+  SELECT lh, rh, CASE side WHEN 0 THEN alo ELSE i + e + 1 END, CASE side WHEN 0 THEN i - k - d + 1 ELSE ahi END,
+         CASE side WHEN 0 THEN blo ELSE j + e + 1 END, CASE side WHEN 0 THEN j - k - d + 1 ELSE bhi END, CASE side WHEN 0 THEN d + k + e ELSE 0 END
+  FROM (
+    SELECT lh, rh, alo, ahi, blo, bhi, m.i AS i, m.j AS j, m.k AS k,
+           coalesce(list_position([la[m.i - m.k + 1 - t] = lb[m.j - m.k + 1 - t] FOR t IN range(0, least(m.i - m.k + 1 - alo, m.j - m.k + 1 - blo))], false) - 1,
+                    least(m.i - m.k + 1 - alo, m.j - m.k + 1 - blo)) AS d,
+           coalesce(list_position([la[m.i + 2 + t] = lb[m.j + 2 + t] FOR t IN range(0, least(ahi - 1 - m.i, bhi - 1 - m.j))], false) - 1,
+                    least(ahi - 1 - m.i, bhi - 1 - m.j)) AS e
+    FROM (SELECT s.lh, s.rh, alo, ahi, blo, bhi,
+                 coalesce(arg_min({{'i': i, 'j': j, 'k': least(run, i - alo + 1, j - blo + 1)}}, (-least(run, i - alo + 1, j - blo + 1), i, j)) FILTER (i IS NOT NULL),
+                          {{'i': alo - 1, 'j': blo - 1, 'k': 0::BIGINT}}) AS m
+          FROM {p}_blocks s LEFT JOIN {p}_cells c ON c.lh = s.lh AND c.rh = s.rh AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+          WHERE alo < ahi AND blo < bhi GROUP BY s.lh, s.rh, alo, ahi, blo, bhi)
+    JOIN {p}_likely USING (lh, rh)
+  ), (VALUES (0), (1)) t(side) WHERE d + k + e > 0""",
+        ),
+        f"{p}_near": (
+            (f"{p}_blocks",),
+            f"""SELECT lh AS content_hash, list(rh) AS kept_hashes FROM (
+    SELECT lh, rh FROM {p}_blocks JOIN {p}_likely USING (lh, rh) GROUP BY lh, rh, a, b HAVING 2 * sum(size) >= 0.85 * (length(a) + length(b))
+    UNION SELECT lh, rh FROM {p}_met JOIN {p}_keys a ON a.content_hash = lh JOIN {p}_keys b ON b.content_hash = rh WHERE a.key = b.key) GROUP BY 1""",
+        ),
+    }
+
+
 view(
     "versions",
     sql="""
@@ -231,26 +302,33 @@ view(
   UNION ALL SELECT query_id, a.arm, version_id, chunk_id, content_hash, file_name, heading, score, rank
   FROM hybrid_hits, (VALUES ('hybrid'), ('hybrid_audit')) a(arm)""",
 )
-view(
-    "arm_fold",
-    "arm_lists",
-    sql="""--RECURSION
-  SELECT DISTINCT case_id, arm, 0::BIGINT AS rank, []::VARCHAR[] AS hashes, []::VARCHAR[] AS heads, []::VARCHAR[] AS firsts,
+VIEWS |= near_views("arm", "arm_lists", "x.case_id = y.case_id AND x.arm = y.arm", "arm_lists")
+
+
+def greedy_fold(name: str, lists: str, near: str, keys: str, where: str) -> str:
+    """The decisions of a list in rank order; ``keys`` tell lists apart, and ``head`` is a hit's heading."""
+    same = " AND ".join(f"l.{k} = f.{k}" for k in keys.split(", "))
+    own = ", ".join(f"f.{k}" for k in keys.split(", "))
+    return f"""--RECURSION
+  SELECT DISTINCT {keys}, 0::BIGINT AS rank, []::VARCHAR[] AS hashes, []::VARCHAR[] AS heads,
          NULL::VARCHAR AS version_id, NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS content_hash, NULL::VARCHAR AS reason, NULL::VARCHAR AS kept_candidate_id
-  FROM arm_lists WHERE arm <> 'hybrid_audit'
+  FROM {lists} WHERE {where}
   UNION ALL
-  SELECT case_id, arm, rank,
-         CASE WHEN reason IS NULL THEN list_append(hashes, content_hash) ELSE hashes END,
-         CASE WHEN reason IS NULL THEN list_append(heads, head) ELSE heads END, [],
-         version_id, chunk_id, content_hash, reason,
-         CASE reason WHEN 'exact_duplicate' THEN content_hash
-                     WHEN 'heading_cap' THEN hashes[list_position(heads, head)] END
-  FROM (SELECT f.case_id, f.arm, l.rank, f.hashes, f.heads, l.version_id, l.chunk_id, l.content_hash, l.file_name || '/' || l.heading AS head,
-               CASE WHEN list_contains(f.hashes, l.content_hash) THEN 'exact_duplicate'
-                    WHEN len(list_filter(f.heads, lambda h: h = l.file_name || '/' || l.heading)) >= 2 THEN 'heading_cap'
-                    WHEN len(f.hashes) >= 20 THEN 'top20_truncation' END AS reason
-        FROM arm_fold f JOIN arm_lists l ON l.case_id = f.case_id AND l.arm = f.arm AND l.rank = f.rank + 1)""",
-)
+  SELECT {keys}, rank, CASE WHEN reason IS NULL THEN list_append(hashes, content_hash) ELSE hashes END,
+         CASE WHEN reason IS NULL THEN list_append(heads, head) ELSE heads END, version_id, chunk_id, content_hash, reason,
+         CASE reason WHEN 'exact_duplicate' THEN content_hash WHEN 'near_duplicate' THEN alike[1] WHEN 'heading_cap' THEN hashes[list_position(heads, head)] END
+  FROM (SELECT *, CASE WHEN list_contains(hashes, content_hash) THEN 'exact_duplicate' WHEN len(alike) > 0 THEN 'near_duplicate'
+                       WHEN len([h FOR h IN heads IF h = head]) >= 2 THEN 'heading_cap' WHEN len(hashes) >= 20 THEN 'top20_truncation' END AS reason
+        FROM (SELECT {own}, l.rank, f.hashes, f.heads, l.version_id, l.chunk_id, l.content_hash, l.head,
+                     [h FOR h IN f.hashes IF list_contains(coalesce(n.kept_hashes, []), h)] AS alike
+              FROM {name} f JOIN {lists} l ON {same} AND l.rank = f.rank + 1 LEFT JOIN {near} n ON n.content_hash = l.content_hash))"""
+
+
+view("arm_heads", "arm_lists", sql="SELECT *, file_name || '/' || heading AS head FROM arm_lists")
+# The fold without the near-text test: nothing is near anything.
+view("nothing_near", sql="SELECT NULL::VARCHAR AS content_hash, NULL::VARCHAR[] AS kept_hashes WHERE false")
+view("arm_fold", "arm_heads", "arm_near", sql=greedy_fold("arm_fold", "arm_heads", "arm_near", "case_id, arm", "arm <> 'hybrid_audit'"))
+view("hash_fold", "arm_heads", "nothing_near", sql=greedy_fold("hash_fold", "arm_heads", "nothing_near", "case_id, arm", "arm = 'vector'"))
 view(
     "arm_decisions",
     "arm_fold",

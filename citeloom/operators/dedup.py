@@ -4,18 +4,13 @@ import difflib
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from citeloom import fixed
 from citeloom.functions import text as tx
-from citeloom.operators.fusion import HIT, candidate_id
-from citeloom.session import by_question
-
-_DECISION = (
-    "query_id string, version_id string, chunk_id string, candidate_id string, rank int, "
-    "kept boolean, kept_rank int, reason string, kept_candidate_id string"
-)
+from citeloom.operators.fusion import candidate_id
 
 
 def similar(left: str, right: str, *, autojunk: bool = True) -> bool:
@@ -27,52 +22,81 @@ def similar(left: str, right: str, *, autojunk: bool = True) -> bool:
 
 
 def _may_match(left: str, right: str) -> bool:
-    """Cheap conditions every pair over the ratio fulfils.
+    """Whether enough pairs of neighbouring characters are in both.
 
     With T characters in both texts, a ratio r leaves at most (1 - r) T of
-    them unmatched. So the lengths are close, and as each gap between matching
-    blocks costs an unmatched character, enough pairs of neighbouring
-    characters stay intact.
+    them unmatched, and each gap between matching blocks costs one of those,
+    so that many neighbours stay together.
+    """
+    total = len(left) + len(right)
+    shared = (Counter(zip(left, left[1:])) & Counter(zip(right, right[1:]))).total()
+    return shared >= total / 2 - 1.5 * (1 - fixed.NEAR_DUPLICATE_RATIO) * total - 1.001
+
+
+def _similar_texts(autojunk: bool):
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([similar(a, b, autojunk=autojunk) for a, b in zip(left, right)], dtype=bool)
+
+    return F.pandas_udf(run, BooleanType())
+
+
+def near_pairs(hits: DataFrame, *, autojunk: bool = True) -> DataFrame:
+    """(query_id, rank, near): for a hit, the earlier ranks of its question with a near text.
+
+    Pairs are those of one question's list (at most 40 hits). Equal hashes and
+    lengths that rule the ratio out never reach the comparison.
     """
-    total, bound = len(left) + len(right), fixed.NEAR_DUPLICATE_RATIO
-    if 2 * min(len(left), len(right)) < bound * total:
-        return False
-    pairs = Counter(zip(left, left[1:]))
-    shared = (pairs & Counter(zip(right, right[1:]))).total()
-    return shared >= total / 2 - 1.5 * (1 - bound) * total - 1.001
-
-
-def _decide(limit: int, near_text: bool, autojunk: bool):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank")
-        kept, by_hash, headings, out = [], {}, {}, []
-        for row in frame.itertuples(index=False):
-            heading = (row.file_name, tuple(row.heading_path))
-            reason, winner = None, None
-            if row.content_hash in by_hash:
-                reason, winner = "exact_duplicate", by_hash[row.content_hash]
-            if reason is None and near_text:
-                winner = next((c for c, text in kept if similar(row.near_key, text, autojunk=autojunk)), None)
-                reason = "near_duplicate" if winner is not None else None
-            if reason is None and len(headings.get(heading, ())) >= fixed.MAX_PER_HEADING:
-                reason, winner = "heading_cap", headings[heading][0]
-            if reason is None and len(kept) >= limit:
-                reason = "top20_truncation"
-            if reason is None:
-                by_hash[row.content_hash] = row.candidate_id
-                headings.setdefault(heading, []).append(row.candidate_id)
-                kept.append((row.candidate_id, row.near_key))
-            place = len(kept) if reason is None else None
-            out.append(
-                (row.query_id, row.version_id, row.chunk_id, row.candidate_id, row.rank)
-                + (reason is None, place, reason, winner)
-            )
-        names = [c.split(" ")[0] for c in _DECISION.split(", ")]
-        result = pd.DataFrame(out, columns=names)
-        result["kept_rank"] = result["kept_rank"].astype("Int32")
-        return result
-
-    return run
+    keyed = hits.select("query_id", "rank", "content_hash", tx.near_text_key(F.col("text")).alias("key"))
+    ours, kept = keyed.alias("a"), keyed.alias("b")
+    shorter, total = F.least(F.length("a.key"), F.length("b.key")), F.length("a.key") + F.length("b.key")
+    pairs = ours.join(
+        kept,
+        F.expr("a.query_id = b.query_id AND b.rank < a.rank AND a.content_hash <> b.content_hash")
+        & (2 * shorter >= fixed.NEAR_DUPLICATE_RATIO * total),
+    )
+    near = pairs.where(_similar_texts(autojunk)(F.col("a.key"), F.col("b.key")))
+    return near.groupBy("a.query_id", "a.rank").agg(F.collect_list("b.rank").alias("near"))
+
+
+def _decided(held: Column, hit: Column, limit: int) -> Column:
+    """The fold's next state: kept hits, and the decisions so far."""
+    kept = held["kept"]
+
+    def first(test) -> Column:
+        return F.try_element_at(F.filter(kept, test), F.lit(1))["candidate_id"]
+
+    copy = first(lambda k: k["content_hash"] == hit["content_hash"])
+    alike = first(lambda k: F.array_contains(hit["near"], k["rank"]))
+    under = F.filter(kept, lambda k: k["heading"] == hit["heading"])
+    full = F.when(F.size(under) >= fixed.MAX_PER_HEADING, F.get(under, F.lit(0))["candidate_id"])
+    reason = (
+        F.when(copy.isNotNull(), "exact_duplicate")
+        .when(alike.isNotNull(), "near_duplicate")
+        .when(full.isNotNull(), "heading_cap")
+        .when(F.size(kept) >= limit, "top20_truncation")
+    )
+    entry = F.struct(
+        hit["rank"].alias("rank"), hit["candidate_id"].alias("candidate_id"), hit["content_hash"].alias("content_hash"), hit["heading"].alias("heading")
+    )
+    decision = F.struct(
+        hit["version_id"].alias("version_id"),
+        hit["chunk_id"].alias("chunk_id"),
+        hit["candidate_id"].alias("candidate_id"),
+        hit["rank"].alias("rank"),
+        reason.alias("reason"),
+        F.coalesce(copy, alike, full).alias("kept_candidate_id"),
+    )
+    return F.struct(
+        F.when(reason.isNull(), F.concat(kept, F.array(entry))).otherwise(kept).alias("kept"),
+        F.concat(held["done"], F.array(decision)).alias("done"),
+    )
+
+
+_START = (
+    "named_struct('kept', cast(array() as array<struct<rank:int,candidate_id:string,content_hash:string,"
+    "heading:struct<file_name:string,heading_path:array<string>>>>), 'done', cast(array() as array<struct<version_id:string,"
+    "chunk_id:string,candidate_id:string,rank:int,reason:string,kept_candidate_id:string>>))"
+)
 
 
 def deduplicate(
@@ -86,24 +110,48 @@ def deduplicate(
 
     A hit is dropped when its hash was kept, when its text is near a kept one,
     when its heading already has two, or when ``limit`` are kept; a dropped
-    hit changes nothing for later ones. That order dependence needs a fold,
-    which is safe as a grouped function because callers pass ranked hits: a
-    question brings its candidate list (20 rows), never a corpus group.
-    ``near_text=False`` leaves the near-text test out.
+    hit changes nothing for later ones. The decisions are a fold over the
+    question's candidate list, an array of at most 40 hits; which texts are
+    near is known before. ``near_text=False`` leaves that test out.
     """
-    prepared = hits.select(
-        *[c for c in HIT if c != "text"],
+    if not 0 < limit <= fixed.MAX_CANDIDATES:
+        raise ValueError(f"limit must be from 1 to {fixed.MAX_CANDIDATES}")
+    ranked = hits.withColumn("rank", F.col("rank").cast("int"))
+    none = F.expr("cast(array() as array<int>)")
+    if near_text:
+        ranked = ranked.join(near_pairs(ranked, autojunk=autojunk), ["query_id", "rank"], "left")
+        ranked = ranked.withColumn("near", F.coalesce("near", none))
+    else:
+        ranked = ranked.withColumn("near", none)
+    hit = F.struct(
+        "rank",
+        "version_id",
+        "chunk_id",
         candidate_id().alias("candidate_id"),
-        F.col("rank").cast("int").alias("rank"),
-        (tx.near_text_key(F.col("text")) if near_text else F.lit("")).alias("near_key"),
+        "content_hash",
+        F.struct("file_name", "heading_path").alias("heading"),
+        "near",
+    )
+    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    folded = F.aggregate("hits", F.expr(_START), lambda held, h: _decided(held, h, limit), lambda held: held["done"])
+    rows = lists.select("query_id", F.inline(folded))
+    kept = F.col("reason").isNull()
+    place = F.sum(F.when(kept, 1).otherwise(0)).over(Window.partitionBy("query_id").orderBy("rank"))
+    return rows.select(
+        "query_id",
+        "version_id",
+        "chunk_id",
+        "candidate_id",
+        "rank",
+        kept.alias("kept"),
+        F.when(kept, place).cast("int").alias("kept_rank"),
+        "reason",
+        "kept_candidate_id",
     )
-    limit = min(limit, fixed.MAX_CANDIDATES)
-    return by_question(prepared).groupBy("query_id").applyInPandas(_decide(limit, near_text, autojunk), _DECISION)
 
 
 def without_dedup(hits: DataFrame, *, limit: int = fixed.MAX_CANDIDATES) -> DataFrame:
     """The audit form: rank decides alone, and only the limit drops."""
-    limit = min(limit, fixed.MAX_CANDIDATES)
     kept = F.col("rank") <= limit
     return hits.select(
         "query_id",
@@ -124,7 +172,6 @@ def heading_diversity(hits: DataFrame, *, limit: int = fixed.MAX_CANDIDATES) ->
     After fusion hashes are unique, so "two per heading, then the limit" is
     two row numbers over the same question partition.
     """
-    limit = min(limit, fixed.MAX_CANDIDATES)
     per_heading = Window.partitionBy("query_id", "file_name", "heading_path").orderBy("rank")
     by_rank = Window.partitionBy("query_id").orderBy("rank")
     fits = F.col("nth_of_heading") <= fixed.MAX_PER_HEADING

@@ -56,7 +56,6 @@ def retrieve(
     *,
     strategy: str = "hybrid",
     n_queries: int,
-    near_text: bool = True,
 ) -> DataFrame:
     """Governed candidates: only chunks each request may see are ever scored."""
     profiles = versions.request_profiles(requests)
@@ -65,7 +64,7 @@ def retrieve(
     asked = question_variants(governed_questions(requests), strategy)
     vector, words = both_branches(asked, visible, n_queries=n_queries)
     combined = fusion.choose_strategy(strategy, vector, words)
-    return dedup.retained(combined, dedup.deduplicate(combined, near_text=near_text))
+    return dedup.retained(combined, dedup.deduplicate(combined))
 
 
 def evidence_table(candidates: DataFrame, questions: DataFrame, scorer=None) -> tuple[DataFrame, DataFrame]:

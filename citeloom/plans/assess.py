@@ -8,16 +8,14 @@ from citeloom.plans.ask import both_branches
 
 
 def arm_candidates(
-    questions: DataFrame, chunks: DataFrame, *, n_queries: int, near_text: bool = True
+    questions: DataFrame, chunks: DataFrame, *, n_queries: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Search once, then :func:`arms_from`."""
     vector, words = both_branches(questions, chunks, n_queries=n_queries)
-    return arms_from(vector, words, near_text=near_text)
+    return arms_from(vector, words)
 
 
-def arms_from(
-    vector: DataFrame, words: DataFrame, *, near_text: bool = True
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+def arms_from(vector: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates of every (case, arm), the drop facts, and the fusion facts.
 
     All arms share the hits of the two branches.
@@ -35,7 +33,7 @@ def arms_from(
         rows = hits.select(*columns).withColumn("query_id", F.concat_ws("|", "query_id", F.lit(arm)))
         combined = rows if combined is None else combined.unionByName(rows)
     audited = F.col("query_id").endswith("|hybrid_audit")
-    decisions = dedup.deduplicate(combined.where(~audited), near_text=near_text).unionByName(
+    decisions = dedup.deduplicate(combined.where(~audited)).unionByName(
         dedup.without_dedup(combined.where(audited))
     )
     kept = dedup.retained(combined, decisions)

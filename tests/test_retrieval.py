@@ -1,6 +1,7 @@
 import difflib
 import math
 
+import embedders
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,19 +144,13 @@ def test_gate_and_labels(spark):
 
 def test_hash_embedding_and_batches(spark):
     texts = spark.createDataFrame([(i, f"token{i} token{i} other") for i in range(70)], "id int, text string")
-    sizes = []
-
-    def embedder(batch):
-        assert len(batch) <= 32
-        return vectors.hash_embedder(batch)
-
-    rows = vectors.embed(texts, "id", embedder).collect()
+    rows = vectors.embed(texts, "id", embedders.strict).collect()
     assert len(rows) == 70 and all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-9 for r in rows)
     score = texts.select(vectors.hash_score(F.col("text"), F.col("text")).alias("s")).first()["s"]
-    assert score == 1.0 and not sizes
+    assert score == 1.0
 
 
 def test_wrong_embedding_count_fails(spark):
     texts = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string").coalesce(1)
     with pytest.raises(Exception, match="embedding count"):
-        vectors.embed(texts, "id", lambda batch: [[1.0]]).collect()
+        vectors.embed(texts, "id", embedders.short).collect()
