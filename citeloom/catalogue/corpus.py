@@ -340,7 +340,7 @@ def _scenarios(spark, folder):
     told = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
     kinds = F.array(*[F.lit(k) for k in (*fixed.SCENARIO_TYPES, "other")])
     refused = F.col("conv_id") % 6 == 0
-    question = F.substring("question", 1, 12)
+    question = F.col("question")
     return asked.join(told, "conv_id").select(
         F.concat(
             F.lit("scn-"), F.when(F.col("conv_id") % 20 == 19, F.col("conv_id") - 1).otherwise(F.col("conv_id"))
@@ -350,7 +350,7 @@ def _scenarios(spark, folder):
         F.upper(question).alias("standalone_question"),
         F.when(refused & (F.col("conv_id") % 12 == 0), "").otherwise(F.col("answer")).alias("answer"),
         refused.alias("refused"),
-        F.split(F.substring("answer", 1, 30), " ").alias("evidence_terms"),
+        F.split("answer", " ").alias("evidence_terms"),
     )
 
 
@@ -359,8 +359,8 @@ def _scenarios(spark, folder):
     rf"""
   WITH a AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY 1),
        b AS (SELECT conv_id, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1),
-       s AS (SELECT 'scn-' || CASE WHEN conv_id % 20 = 19 THEN conv_id - 1 ELSE conv_id END AS scenario_id, conv_id % 8 AS kind, substr(q, 1, 12) AS question,
-                    conv_id % 6 = 0 AS refused, CASE WHEN conv_id % 12 = 0 THEN '' ELSE answer END AS answer, string_split(substr(answer, 1, 30), ' ') AS terms
+       s AS (SELECT 'scn-' || CASE WHEN conv_id % 20 = 19 THEN conv_id - 1 ELSE conv_id END AS scenario_id, conv_id % 8 AS kind, q AS question,
+                    conv_id % 6 = 0 AS refused, CASE WHEN conv_id % 12 = 0 THEN '' ELSE answer END AS answer, string_split(answer, ' ') AS terms
              FROM a JOIN b USING (conv_id)),
        k AS (SELECT DISTINCT scenario_id, key FROM (SELECT scenario_id, trim(regexp_replace({fold("question")}, '\s+', ' ', 'g')) AS key FROM s
              UNION ALL SELECT scenario_id, trim(regexp_replace({fold("upper(question)")}, '\s+', ' ', 'g')) FROM s)),

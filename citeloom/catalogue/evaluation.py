@@ -497,8 +497,8 @@ def _set(spark, folder):
     kinds = F.array(*[F.lit(k) for k in ("fact", " Procedure ", "条件", "no-answer", "流程", "synthesis", "other")])
     return t.load(spark, folder, "conversations").where("role = 'user'").select(
         n.alias("case_no"),
-        F.concat(F.lit("  "), F.substring("text", 1, 6)).alias("question"),
-        F.split(F.substring("text", 1, 40), r"\.").alias("reference_points"),
+        F.concat(F.lit("  "), "text").alias("question"),
+        F.split("text", r"\.").alias("reference_points"),
         F.array(F.concat(F.lit("v"), n % 500), F.concat(F.lit("v"), F.col("conv_id"))).alias("source_ids"),
         F.element_at(kinds, (n % 7 + 1).cast("int")).alias("type"),
     )
@@ -507,7 +507,7 @@ def _set(spark, folder):
 @query(
     "flt8_filtered_cases",
     rf"""
-  WITH c AS (SELECT conv_id * 10 + turn AS n, conv_id, '  ' || substr(text, 1, 6) AS q, string_split(substr(text, 1, 40), '.') AS points FROM conversations WHERE role = 'user'),
+  WITH c AS (SELECT conv_id * 10 + turn AS n, conv_id, '  ' || text AS q, string_split(text, '.') AS points FROM conversations WHERE role = 'user'),
        k AS (SELECT * FROM c WHERE trim(q) <> '' AND n % 500 < (SELECT count(*) FROM documents) AND conv_id < (SELECT count(*) FROM documents)),
        f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY {fold(r"trim(regexp_replace(q, '\s+', ' ', 'g'))")} ORDER BY n) = 1),
        p AS (SELECT n, conv_id, trim(q, ' ' || chr(10)) AS q, list_filter(list_transform(points, lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS points,
@@ -673,10 +673,10 @@ def _(spark, folder):
 
 @query(
     "fn11_reference_points",
-    f"""SELECT conv_id, turn, trim(text) <> '' AND contains({fold("text")}, {fold("trim(substr(text, 3, 12))")}) AND contains({fold("text")}, 'on') AS covered FROM conversations""",
+    f"""SELECT conv_id, turn, trim(text) <> '' AND contains({fold("text")}, {fold("trim(string_split(text, '.')[1])")}) AND contains({fold("text")}, 'on') AS covered FROM conversations""",
 )
 def _(spark, folder):
-    points = F.array(F.substring("text", 3, 12), F.lit(" ON "))
+    points = F.array(F.split("text", r"\.")[0], F.lit(" ON "))
     turns = t.load(spark, folder, "conversations")
     return turns.select("conv_id", "turn", tx.covers_points(F.col("text"), points).alias("covered"))
 

@@ -216,7 +216,7 @@ def _(spark, folder):
     "agg23_question_groups",
     sql(
         rf"""
-  WITH g AS (SELECT *, sha256(regexp_replace({fold("substr(question, 1, 4)")}, '[^\p{{L}}\p{{N}}]', '', 'g')) AS fp FROM sc),
+  WITH g AS (SELECT *, sha256(regexp_replace({fold("question")}, '[^\p{{L}}\p{{N}}]', '', 'g')) AS fp FROM sc),
        a AS (SELECT fp, arg_min(case_id, (priority, -score, case_id)) AS case_id, sum(has_event::INT)::BIGINT AS event_count, count(*) AS case_count FROM g GROUP BY fp)
   SELECT a.case_id, a.fp AS fingerprint, g.priority AS triage_priority, g.score AS triage_score, array_to_string(CASE WHEN case_count > 1 THEN list_append(reasons, 'duplicate_question') ELSE reasons END, '|') AS triage_reasons, a.event_count, a.case_count
   FROM a JOIN g USING (case_id)""",
@@ -225,9 +225,8 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    """Cases grouped by the start of their question, so that groups form."""
-    rows = scored(spark, folder).withColumn("question_redacted", F.substring("question_redacted", 1, 4))
-    return tidy(fb.group_questions(rows))
+    """Cases grouped by their question."""
+    return tidy(fb.group_questions(scored(spark, folder)))
 
 
 @query(

@@ -20,12 +20,12 @@ from citeloom.sources import tables as t
 @query(
     "prj1_clean_questions",
     r"""
-  SELECT item_id, q AS question, length(q) BETWEEN 1 AND 300 AS valid FROM (SELECT item_id, trim(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g')) AS q FROM benchmark)""",
+  SELECT item_id, q AS question, length(q) BETWEEN 1 AND 1000 AS valid FROM (SELECT item_id, trim(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g')) AS q FROM benchmark)""",
 )
 def _(spark, folder):
     cleaned = tx.clean_question(F.col("text"))
     rows = t.load(spark, folder, "benchmark").select("item_id", cleaned.alias("question"))
-    valid = tx.question_problem(F.col("question")).isNull() & (F.length("question") <= 300)
+    valid = tx.question_problem(F.col("question")).isNull()
     return rows.withColumn("valid", valid)
 
 
@@ -634,7 +634,7 @@ def _(spark, folder):
     sql(
         r"""
   WITH a AS (SELECT case_id, string_agg(flat, chr(10) ORDER BY rerank_rank) AS answer FROM shown GROUP BY 1),
-       c AS (SELECT case_id, rerank_rank AS claim_no, CASE WHEN paragraph % 9 = 2 THEN 'not said' ELSE substr(flat, 1, 80) END AS claim, CASE WHEN paragraph % 7 = 3 THEN 'unsupported' ELSE 'supported' END AS verdict,
+       c AS (SELECT case_id, rerank_rank AS claim_no, CASE WHEN paragraph % 9 = 2 THEN 'not said' ELSE flat END AS claim, CASE WHEN paragraph % 7 = 3 THEN 'unsupported' ELSE 'supported' END AS verdict,
                     CASE WHEN paragraph % 11 = 5 THEN 'S9' ELSE reference_id END AS cited, reference_id FROM shown),
        f AS (SELECT c.*, CASE WHEN NOT contains(trim(regexp_replace(answer, '\s+', ' ', 'g')), trim(regexp_replace(claim, '\s+', ' ', 'g'))) THEN 'CLAIM_NOT_IN_ANSWER'
                               WHEN verdict <> 'supported' THEN 'CLAIM_UNSUPPORTED' WHEN cited = 'S9' THEN 'SOURCE_UNKNOWN' END AS fault FROM c JOIN a USING (case_id)),
@@ -656,7 +656,7 @@ def _(spark, folder):
     claims = rows.select(
         "query_id",
         F.col("rerank_rank").alias("claim_no"),
-        F.when(place % 9 == 2, "not said").otherwise(F.substring(flat, 1, 80)).alias("claim"),
+        F.when(place % 9 == 2, "not said").otherwise(flat).alias("claim"),
         F.when(place % 7 == 3, "unsupported").otherwise("supported").alias("verdict"),
         F.array(F.when(place % 11 == 5, F.lit("S9")).otherwise(F.col("reference_id"))).alias("source_ids"),
     )

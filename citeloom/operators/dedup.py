@@ -114,8 +114,7 @@ def deduplicate(
     question's candidate list, an array of at most 40 hits; which texts are
     near is known before. ``near_text=False`` leaves that test out.
     """
-    if not 0 < limit <= fixed.MAX_CANDIDATES:
-        raise ValueError(f"limit must be from 1 to {fixed.MAX_CANDIDATES}")
+    fixed.bounded(limit)
     ranked = hits.withColumn("rank", F.col("rank").cast("int"))
     none = F.expr("cast(array() as array<int>)")
     if near_text:

@@ -124,7 +124,7 @@ def fuse(
 
 def fused_hits(facts: DataFrame, limit: int = fixed.MAX_CANDIDATES) -> DataFrame:
     """The merged ranking: fused candidates up to ``min(limit, 20)``."""
-    return facts.where(F.col("fused_rank") <= min(limit, fixed.MAX_CANDIDATES)).select(
+    return facts.where(F.col("fused_rank") <= fixed.bounded(limit)).select(
         *HIT, F.col("rrf_score").alias("score"), F.col("fused_rank").alias("rank")
     )
 
@@ -149,7 +149,7 @@ def fusion_drops(
             "version_id",
         )
     )
-    cut = facts.where(F.col("fused_rank") > min(limit, fixed.MAX_CANDIDATES)).select(
+    cut = facts.where(F.col("fused_rank") > fixed.bounded(limit)).select(
         "query_id",
         "candidate_id",
         F.lit("top20_truncation").alias("reason"),

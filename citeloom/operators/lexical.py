@@ -115,7 +115,7 @@ def lexical_hits(
     tokens = query_tokens(questions)
     weighted = weighted_tokens(tokens, document_frequency(chunks, tokens), corpus_size(chunks))
     packed = lexical_segments(chunks) if index is None else index
-    return segments.top_k(packed, weighted, min(k, fixed.MAX_CANDIDATES), n_queries=n_queries)
+    return segments.top_k(packed, weighted, fixed.bounded(k), n_queries=n_queries)
 
 
 def match_statistics(questions: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def hash_hits(
     features = vectors.join(questions.select("query_id", "profile"), "query_id").select(
         "query_id", "profile", F.col("bucket").alias("f"), F.col("weight").alias("w")
     )
-    return segments.top_k(packed, features, min(k, fixed.MAX_CANDIDATES), n_queries=n_queries)
+    return segments.top_k(packed, features, fixed.bounded(k), n_queries=n_queries)
 
 
 def vector_hits(queries: DataFrame, points: DataFrame, *, n_queries: int, k: int) -> DataFrame:
