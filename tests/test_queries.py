@@ -13,6 +13,7 @@ SAMPLE = (
     "snk3_delete_version agg25_coverage agg1_lexical_hits jn2_lexical_matches win3_fusion_facts win2_hash_heading_dedup "
     "jn5_governed_candidates prj3_citations jn6_evidence_resolution agg9_industry_report agg13_arm_report agg17_case_signals "
     "win6_complete_turns win5_latest_replies flt13_sanitised_messages mnt1_index_decisions mnt4_metadata_upsert "
+    "win2_greedy_dedup agg15_drop_counts flt8_filtered_cases src6_scenario_problems jn15_claim_verification fn11_reference_points "
     "mnt6_promotion_gate mnt5_bad_case_lifecycle agg23_question_groups mnt10_retention_purge str2_latest_feedback str3_chat_event_fold"
 ).split()
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom.functions import text as tx
 from citeloom.operators import dedup, evidence, fusion, lexical, segments, vectors
 
 CHUNK = "version_id string, chunk_id string, text string, heading_path array<string>, profiles array<int>"
@@ -123,6 +124,32 @@ def test_dedup_reasons(spark):
     }
 
 
+def test_decisions_in_rank_order(spark):
+    """Random lists against the rules applied hit by hit."""
+    rng = np.random.default_rng(11)
+    texts = ["the quick brown fox jumps", "the quick brown fox jumped", "some other words here", "some other words there", "12345", "zz"]
+    rows = []
+    for n in range(30):
+        text = texts[rng.integers(len(texts))] if rng.random() < 0.7 else f"text number {n} of its own {rng.integers(10**6)}"
+        rows.append((f"v{rng.integers(4)}", f"c{n}", f"h-{text}" if rng.random() < 0.8 else f"h{n}", "xyz"[rng.integers(3)], text, 30 - n))
+    table = hits(spark, rows)
+    keys = {r["chunk_id"]: r["k"] for r in table.select("chunk_id", tx.near_text_key(F.col("text")).alias("k")).collect()}
+    kept, want = [], {}
+    for version, chunk, content, heading, _, _ in rows:
+        copy = [k for k in kept if k[0] == content]
+        near = [k for k in kept if dedup.similar(keys[chunk], k[2])]
+        under = [k for k in kept if k[1] == (version, heading)]
+        reason = "exact_duplicate" if copy else "near_duplicate" if near else "heading_cap" if len(under) > 1 else "top20_truncation" if len(kept) >= 8 else None
+        winner = (copy or near or (under if len(under) > 1 else []) or [(None,)])[0][0]
+        want[chunk] = (reason, winner)
+        if reason is None:
+            kept.append((content, (version, heading), keys[chunk]))
+    got = {r["chunk_id"]: (r["reason"], r["kept_candidate_id"]) for r in dedup.deduplicate(table, limit=8).collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        dedup.deduplicate(table, limit=21)
+
+
 def test_similar_is_the_ratio():
     rng = np.random.default_rng(3)
     letters = np.array(list("abcdefgh "))
