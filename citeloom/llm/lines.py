@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.registry import query, table
-from citeloom.llm.written import fresh, written
+from citeloom.llm.written import dropped, fresh, written
 
 PERCENT = 80
 BUCKETS = 1 << 16
@@ -110,14 +110,21 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
     )
 
 
-def may_match(a: str, b: str) -> Column:
-    """Length, positional and parity filters on postings ``a`` and ``b`` of one word."""
-    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+Posting = tuple[Column, Column, Column]
+
+
+def may_match(a: Posting, b: Posting) -> Column:
+    """Length, positional and parity filters on two postings (n, place, bits) of one word."""
+    (n_a, place_a, bits_a), (n_b, place_b, bits_b) = a, b
+    both = n_a + n_b
     overlap = F.ceil(both * PERCENT / (100 + PERCENT) - 1e-9)
-    reach = 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place"))
-    shorter, longer = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    flipped = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (shorter * 100 >= longer * PERCENT) & (reach >= overlap) & (flipped <= both - 2 * overlap)
+    reach = 1 + F.least(n_a - place_a, n_b - place_b)
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
+    return sizes & (reach >= overlap) & (F.bit_count(bits_a.bitwiseXOR(bits_b)) <= both - 2 * overlap)
+
+
+def of(struct: str) -> Posting:
+    return F.col(f"{struct}.n"), F.col(f"{struct}.place"), F.col(f"{struct}.bits")
 
 
 def postings(sets: DataFrame, most: int | None, *columns: str) -> DataFrame:
@@ -135,7 +142,7 @@ def neighbours(sets: DataFrame) -> DataFrame:
     near = rows.select(
         "k1", "me", F.first(other).over(by_place).alias("head"), F.lag(other).over(by_place).alias("previous")
     ).filter("previous IS NOT NULL")
-    both = F.array(*[F.when(may_match("me", x), F.col(f"{x}.k1")) for x in ("head", "previous")])
+    both = F.array(*[F.when(may_match(of("me"), of(x)), F.col(f"{x}.k1")) for x in ("head", "previous")])
     found = near.select(F.col("k1").alias("later"), F.explode(F.array_compact(both)).alias("earlier"))
     return found.filter("later <> earlier").distinct()
 
@@ -163,15 +170,26 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): the line numbers that go, for the documents that lose any."""
-    lines = written(sets_of_lines(docs, rarity(docs)), "line-sets")
-    sets = written(distinct_sets(lines), "distinct-sets")
+    whole = written(sets_of_lines(docs, rarity(docs)), "line-sets")
+    sets = written(distinct_sets(whole), "distinct-sets")
+    # From here lines need their names only.
+    lines = written(whole.select("doc_id", "line_no", "k1", "k2"), "line-names")
+    dropped(whole)
     pairs = written(neighbours(sets), "line-pairs")
     matched = written(verified(pairs, sets, docs), "lines-matched")
     known = matched.select(F.col("later").alias("k1"), F.lit(False).alias("asks"))
     asking = sets.drop("first", "k2").join(known, "k1", "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
     # Both sides are the same rows, so they are shuffled once; which set is the earlier comes after.
-    rows = postings(asking, None, "asks")
-    met = rows.alias("a").join(rows.alias("b"), F.expr("a.word = b.word AND a.k1 <> b.k1 AND a.asks") & may_match("a", "b"))
+    # Sizes, places and the flag travel in one number: rows are many.
+    packed = F.expr("shiftleft(shiftleft(CAST(n AS BIGINT), 30) | place, 1) | CAST(asks AS BIGINT)")
+    rows = postings(asking, None, "asks").select("word", "k1", "bits", packed.alias("packed"))
+
+    def unpacked(x: str) -> Posting:
+        place = F.expr(f"CAST(shiftright({x}.packed, 1) & 1073741823 AS INT)")
+        return F.expr(f"CAST(shiftright({x}.packed, 31) AS INT)"), place, F.col(f"{x}.bits")
+
+    meet = F.expr("a.word = b.word AND a.k1 <> b.k1 AND a.packed & 1 = 1")
+    met = rows.alias("a").join(rows.alias("b"), meet & may_match(unpacked("a"), unpacked("b")))
     met = written(met.select(F.col("a.k1").alias("later"), F.col("b.k1").alias("earlier")).distinct(), "line-pairs")
     places = sets.select("k1", "first")
     pairs = (

@@ -40,6 +40,17 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Remove the files of a table made by :func:`written` that nothing reads any more."""
+    jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+    conf = session.sessionState().newHadoopConf()
+    folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+    for folder in folders:
+        if "/llm-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """``names``, lengthened until none equals one of ``columns`` in any case."""
     taken = {c.lower() for c in columns}
