@@ -4,7 +4,7 @@ Derived tables hold no data of their own: each is a lazy plan over the given
 Parquet files, so every operator's work grows with those files.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom import fixed
@@ -140,39 +140,45 @@ def expected_sources(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, version_id): documents that hold the whole passage.
 
     A passage found anywhere in a text must bring its inner words along, so
-    its words 2-9 are an anchor: equi-join on that anchor, then compare whole
-    strings. Anchors of documents are filtered by the wanted ones (map side
-    while those are few) before anything is shuffled. A passage too short for
-    an anchor stops the job instead of losing matches.
+    up to eight words after its first are an anchor: equi-join on that anchor,
+    then compare whole strings. Shorter passages have shorter anchors, and one
+    without inner words is compared with every text. Anchors of documents are
+    filtered by the wanted ones (map side while those are few) before anything
+    is shuffled.
     """
     words = F.split(F.col("passage"), " |\n")
-    anchor = F.concat_ws(" ", F.slice(words, 2, _ANCHOR_WORDS))
+    size = F.greatest(F.least(F.size(words) - 2, F.lit(_ANCHOR_WORDS)), F.lit(0))
     passages = questions(spark, folder).select(
         "query_id",
         "passage",
-        F.when(F.size(words) >= _ANCHOR_WORDS + 2, F.xxhash64(anchor))
-        .otherwise(F.raise_error(F.lit("passage has fewer than 10 words")).cast("bigint"))
-        .alias("anchor"),
+        size.alias("anchor_words"),
+        F.xxhash64(F.concat_ws(" ", F.slice(words, F.lit(2), size))).alias("anchor"),
     )
-    text_words = F.split(F.col("text"), " |\n")
-    starts = F.sequence(F.lit(1), F.size("words") - _ANCHOR_WORDS + 1)
-    docs = (
-        spread(load(spark, folder, "documents"))
-        .select("doc_id", "text", text_words.alias("words"))
-        .where(F.size("words") >= _ANCHOR_WORDS)
+    # At most nine lengths, however many passages.
+    lengths = sorted(r["anchor_words"] for r in passages.select("anchor_words").distinct().collect())
+
+    def anchors(length: int) -> Column:
+        places = F.sequence(F.lit(1), F.size("words") - length + 1) if length else F.array(F.lit(1))
+        found = F.transform(
+            places,
+            lambda i: F.struct(
+                F.lit(length).alias("anchor_words"),
+                F.xxhash64(F.concat_ws(" ", F.slice("words", i, F.lit(length)))).alias("anchor"),
+            ),
+        )
+        none = F.expr("cast(array() as array<struct<anchor_words:int,anchor:bigint>>)")
+        return F.when(F.size("words") >= length, found).otherwise(none)
+
+    docs = spread(load(spark, folder, "documents")).select(
+        "doc_id", "text", F.split(F.col("text"), " |\n").alias("words")
     )
+    keys = ["anchor_words", "anchor"]
+    offered = F.concat(*[anchors(n) for n in lengths or [0]])
     found = (
-        docs.select(
-            "doc_id",
-            F.explode(
-                F.transform(
-                    starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, _ANCHOR_WORDS)))
-                )
-            ).alias("anchor"),
-        )
-        .join(passages.select("anchor").distinct(), "anchor", "left_semi")
+        docs.select("doc_id", F.inline(offered))
+        .join(passages.select(*keys).distinct(), keys, "left_semi")
         .distinct()
-        .join(passages, "anchor")
+        .join(passages, keys)
         .join(docs.select("doc_id", "text"), "doc_id")
         .where(F.col("text").contains(F.col("passage")))
     )
