@@ -12,7 +12,7 @@ sizes a and b with similarity t share at least ``t / (1 + t) * (a + b)`` words,
 so they share one among the first ``n - ceil(t * n) + 1`` of each (prefix
 filter); sizes must be within t of each other (length filter); the place of
 that shared word bounds what can follow (positional filter); and words in one
-set only each flip a bit of a 64-bit parity sketch, so too many flipped bits
+set only each flip a bit of a 128-bit parity sketch, so too many flipped bits
 rule a pair out. What is left is verified on the words themselves.
 
 A group of thousands of variants of a line would make all its pairs. So each
@@ -82,12 +82,16 @@ def needed(size: Column) -> Column:
 def sets_of_lines(docs: DataFrame, levels: Column) -> DataFrame:
     """(doc_id, line_no, k1, k2, n, bits, prefix) of the lines that have words."""
     keys = exploded(docs).select("doc_id", "line_no", ordered(word_hashes(F.col("line")), levels).alias("words"))
-    one = F.lit(1).cast("long")
-    bits = F.aggregate(
-        "words",
-        F.lit(0).cast("long"),
-        lambda held, w: held.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))),
-    )
+
+    def parity(half: int) -> Column:
+        """Half of 128 bits; each word flips one of them, chosen by seven bits of its hash."""
+
+        def flip(w: Column) -> Column:
+            mine = F.shiftright(w, 6).bitwiseXOR(F.lit(1 - half).cast("long")).bitwiseAND(1)
+            return F.call_function("shiftleft", mine, w.bitwiseAND(63).cast("int"))
+
+        return F.aggregate("words", F.lit(0).cast("long"), lambda held, w: held.bitwiseXOR(flip(w)))
+
     size = F.size("words")
     return keys.filter(size > 0).select(
         "doc_id",
@@ -95,7 +99,8 @@ def sets_of_lines(docs: DataFrame, levels: Column) -> DataFrame:
         F.xxhash64("words").alias("k1"),
         F.xxhash64(F.lit(SEED), "words").alias("k2"),
         size.alias("n"),
-        bits.alias("bits"),
+        parity(0).alias("bits"),
+        parity(1).alias("more_bits"),
         F.slice("words", F.lit(1), size - needed(size) + 1).alias("prefix"),
     )
 
@@ -106,39 +111,42 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "line_no")).alias("first"),
         F.any_value("n").alias("n"),
         F.any_value("bits").alias("bits"),
+        F.any_value("more_bits").alias("more_bits"),
         F.any_value("prefix").alias("prefix"),
     )
 
 
-Posting = tuple[Column, Column, Column]
+Posting = tuple[Column, Column, Column, Column]
 
 
 def may_match(a: Posting, b: Posting) -> Column:
-    """Length, positional and parity filters on two postings (n, place, bits) of one word."""
-    (n_a, place_a, bits_a), (n_b, place_b, bits_b) = a, b
+    """Length, positional and parity filters on two postings (n, place, bits, more_bits) of one word."""
+    (n_a, place_a, bits_a, more_a), (n_b, place_b, bits_b, more_b) = a, b
     both = n_a + n_b
     overlap = F.ceil(both * PERCENT / (100 + PERCENT) - 1e-9)
     reach = 1 + F.least(n_a - place_a, n_b - place_b)
     sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
-    return sizes & (reach >= overlap) & (F.bit_count(bits_a.bitwiseXOR(bits_b)) <= both - 2 * overlap)
+    # Each word that only one set has flips one bit.
+    apart = F.bit_count(bits_a.bitwiseXOR(bits_b)) + F.bit_count(more_a.bitwiseXOR(more_b))
+    return sizes & (reach >= overlap) & (apart <= both - 2 * overlap)
 
 
 def of(struct: str) -> Posting:
-    return F.col(f"{struct}.n"), F.col(f"{struct}.place"), F.col(f"{struct}.bits")
+    return F.col(f"{struct}.n"), F.col(f"{struct}.place"), F.col(f"{struct}.bits"), F.col(f"{struct}.more_bits")
 
 
 def postings(sets: DataFrame, most: int | None, *columns: str) -> DataFrame:
     """(word, k1, n, bits, place) for the words of the prefixes, or the rarest ``most`` of them."""
     words = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-    rows = sets.select("k1", "n", "bits", *columns, F.posexplode(words).alias("at", "word"))
-    return rows.select("word", "k1", "n", "bits", (F.col("at") + 1).alias("place"), *columns)
+    rows = sets.select("k1", "n", "bits", "more_bits", *columns, F.posexplode(words).alias("at", "word"))
+    return rows.select("word", "k1", "n", "bits", "more_bits", (F.col("at") + 1).alias("place"), *columns)
 
 
 def neighbours(sets: DataFrame) -> DataFrame:
     """(later, earlier): each set with the earliest and the preceding one for its rarest words."""
-    rows = postings(sets, RAREST, "first").withColumn("me", F.struct("n", "place", "bits"))
+    rows = postings(sets, RAREST, "first").withColumn("me", F.struct("n", "place", "bits", "more_bits"))
     by_place = Window.partitionBy("word").orderBy("first")
-    other = F.struct("k1", "n", "place", "bits")
+    other = F.struct("k1", "n", "place", "bits", "more_bits")
     near = rows.select(
         "k1", "me", F.first(other).over(by_place).alias("head"), F.lag(other).over(by_place).alias("previous")
     ).filter("previous IS NOT NULL")
@@ -182,11 +190,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # Both sides are the same rows, so they are shuffled once; which set is the earlier comes after.
     # Sizes, places and the flag travel in one number: rows are many.
     packed = F.expr("shiftleft(shiftleft(CAST(n AS BIGINT), 30) | place, 1) | CAST(asks AS BIGINT)")
-    rows = postings(asking, None, "asks").select("word", "k1", "bits", packed.alias("packed"))
+    rows = postings(asking, None, "asks").select("word", "k1", "bits", "more_bits", packed.alias("packed"))
 
     def unpacked(x: str) -> Posting:
         place = F.expr(f"CAST(shiftright({x}.packed, 1) & 1073741823 AS INT)")
-        return F.expr(f"CAST(shiftright({x}.packed, 31) AS INT)"), place, F.col(f"{x}.bits")
+        return F.expr(f"CAST(shiftright({x}.packed, 31) AS INT)"), place, F.col(f"{x}.bits"), F.col(f"{x}.more_bits")
 
     meet = F.expr("a.word = b.word AND a.k1 <> b.k1 AND a.packed & 1 = 1")
     met = rows.alias("a").join(rows.alias("b"), meet & may_match(unpacked("a"), unpacked("b")))
