@@ -186,11 +186,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     pairs = written(neighbours(sets), "line-pairs")
     matched = written(verified(pairs, sets, docs), "lines-matched")
     known = matched.select(F.col("later").alias("k1"), F.lit(False).alias("asks"))
-    asking = sets.drop("first", "k2").join(known, "k1", "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
+    # Marked and written apart, so that this shuffle is gone before the postings are dealt out.
+    marked = written(sets.join(known, "k1", "left").withColumn("asks", F.coalesce("asks", F.lit(True))), "marked-sets")
+    dropped(sets)
+    sets = marked
     # Both sides are the same rows, so they are shuffled once; which set is the earlier comes after.
     # Sizes, places and the flag travel in one number: rows are many.
     packed = F.expr("shiftleft(shiftleft(CAST(n AS BIGINT), 30) | place, 1) | CAST(asks AS BIGINT)")
-    rows = postings(asking, None, "asks").select("word", "k1", "bits", "more_bits", packed.alias("packed"))
+    rows = postings(sets, None, "asks").select("word", "k1", "bits", "more_bits", packed.alias("packed"))
 
     def unpacked(x: str) -> Posting:
         place = F.expr(f"CAST(shiftright({x}.packed, 1) & 1073741823 AS INT)")
