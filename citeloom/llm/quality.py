@@ -4,8 +4,10 @@ A cumulative-link model: one weight a feature, shared by all grades, gives a
 score s, and ordered thresholds t1 < t2 give P(grade >= k) = 1 / (1 + exp(tk - s)).
 Features are hashed words, the kinds of character that follow each other, and
 how much of a text repeats. The model is fitted on a bounded sample of labelled
-rows (``SAMPLE``, drawn by a hash of the id) and applied where texts are read;
-documents are never shuffled.
+rows (``SAMPLE``, drawn by a hash of the id, as many of each grade as there are
+until the bound is shared out evenly) and applied where texts are read;
+documents are never shuffled. A row weighs as many labels of its grade as it
+stands for, so the drawing doesn't change the shares of the grades.
 
 Grades come from the labels: 0 for bad quality, 1 for good but toxic, 2 for
 good. Documents are selected when P(grade >= 2) is at least one half.
@@ -19,6 +21,7 @@ rows are scored alike; other columns pass through :func:`selected`.
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from citeloom.llm.texts import bodies, joined, runs, slices
 from citeloom.llm.written import fresh
 
 #: Most labelled rows that the model is fitted on.
-SAMPLE = 8000
+SAMPLE = 12_000
 GRADES = 3
 WORD_BITS = 17
 KINDS = 12
@@ -40,6 +43,8 @@ STEPS = 12  # of shares of repeated words and phrases
 WIDTH = (1 << WORD_BITS) + KINDS**3 + 2 * (STEPS + 1)
 PHRASE = 3
 BEGINNINGS = (4, 6)
+#: Features that the fit works on at once: what it makes for them is small beside the features.
+BLOCK = 1 << 20
 
 
 def _kind_table() -> np.ndarray:
@@ -118,10 +123,22 @@ class Model:
 
 
 def fit(
-    text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 250, decay: float = 5e-6
+    text: np.ndarray,
+    feature: np.ndarray,
+    value: np.ndarray,
+    grade: np.ndarray,
+    rounds: int = 250,
+    decay: float = 5e-6,
+    stands_for: np.ndarray | None = None,
 ) -> Model:
-    """Weights and thresholds by full-batch Adam on the mean log likelihood."""
-    n, counts = len(grade), np.bincount(grade, minlength=GRADES)
+    """Weights and thresholds by full-batch Adam on the mean log likelihood.
+
+    ``stands_for`` has the labels that one text of each grade stands for.
+    """
+    each = np.ones(GRADES) if stands_for is None else stands_for
+    counts = np.bincount(grade, minlength=GRADES) * each
+    n, texts = counts.sum(), len(grade)
+    blocks = [slice(k, k + BLOCK) for k in range(0, len(text), BLOCK)]
     tail = (n - np.cumsum(counts)[:-1] + 0.5) / (n + 1)
     cuts = -np.log(tail / (1 - tail))
     cuts = np.maximum.accumulate(cuts + np.arange(GRADES - 1) * 1e-6)
@@ -131,10 +148,12 @@ def fit(
     # cuts = first, then logs of the gaps: always in order.
     free = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
     state = [np.zeros((2, WIDTH)), np.zeros((2, len(free)))]
-    balance = (n / (np.count_nonzero(counts) * np.maximum(counts, 1)))[grade] ** 0.6
+    balance = ((n / (np.count_nonzero(counts) * np.maximum(counts, 1))) ** 0.6 * each)[grade]
     for turn in range(1, rounds + 1):
         cuts = free[0] + np.concatenate([np.zeros(1), np.cumsum(np.exp(free[1:]))])
-        score = np.bincount(text, weights[feature] * value, n)
+        score, by_weight = np.zeros(texts), decay * weights
+        for b in blocks:
+            score += np.bincount(text[b], weights[feature[b]] * value[b], texts)
         # P(grade <= k) at the thresholds above and below each grade.
         edge = np.concatenate([np.full(1, -50.0), cuts, np.full(1, 50.0)])
         high = 1 / (1 + np.exp(np.clip(score - edge[grade + 1], -50, 50)))
@@ -146,10 +165,9 @@ def fit(
         np.add.at(by_cut, np.minimum(grade, GRADES - 2), np.where(grade < GRADES - 1, -slope_high * scale, 0))
         np.add.at(by_cut, np.maximum(grade - 1, 0), np.where(grade > 0, slope_low * scale, 0))
         tails = np.cumsum(by_cut[::-1])[::-1]
-        gradients = (
-            np.bincount(feature, by_score[text] * value, WIDTH) + decay * weights,
-            np.concatenate([tails[:1], tails[1:] * np.exp(free[1:])]),
-        )
+        for b in blocks:
+            by_weight += np.bincount(feature[b], by_score[text[b]] * value[b], WIDTH)
+        gradients = (by_weight, np.concatenate([tails[:1], tails[1:] * np.exp(free[1:])]))
         for values, gradient, moments, rate in zip((weights, free), gradients, state, (0.1, 0.05)):
             moments[0] += 0.1 * (gradient - moments[0])
             moments[1] += 0.01 * (gradient**2 - moments[1])
@@ -183,9 +201,24 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def quotas(counts: np.ndarray, sample: int) -> np.ndarray:
+    """Labels to draw of each grade: all of a rare one, and what is left evenly of the others."""
+    found, left = np.zeros(len(counts), np.int64), sample
+    for k, grade in enumerate(np.argsort(counts, kind="stable")):
+        found[grade] = min(counts[grade], left // (len(counts) - k))
+        left -= found[grade]
+    return found
+
+
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model fitted on at most ``sample`` labelled documents."""
-    drawn = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marks, counts = grades(labels), np.zeros(GRADES, np.int64)
+    for row in marks.groupBy("grade").count().collect():
+        counts[row["grade"]] = row["count"]
+    quota = quotas(counts, sample)
+    by_id = (F.xxhash64("doc_id"), "doc_id")
+    parts = [marks.filter(F.col("grade") == k).orderBy(*by_id).limit(int(n)) for k, n in enumerate(quota)]
+    drawn = reduce(DataFrame.unionByName, parts)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("grade", "text")
     # Repeated documents can't push the rows beyond their bound.
     found = rows.mapInArrow(_sparse, "grade int, features binary, values binary")
@@ -196,7 +229,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     feature = np.frombuffer(b"".join(r["features"] for r in found), "<i4")
     value = np.frombuffer(b"".join(r["values"] for r in found), "<f4")
     del found
-    return fit(np.repeat(np.arange(len(grade), dtype=np.int32), sizes), feature, value, grade)
+    text = np.repeat(np.arange(len(grade), dtype=np.int32), sizes)
+    return fit(text, feature, value, grade, stands_for=counts / np.maximum(quota, 1))
 
 
 def graded(docs: DataFrame, model: Model, tails: list[str]) -> DataFrame:

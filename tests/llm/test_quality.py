@@ -65,3 +65,34 @@ def test_sample_is_bounded(spark):
     docs = documents(spark, rows * 3)
     a, b = (quality.trained(docs.repartition(n), marks, sample=20) for n in (2, 3))
     assert np.allclose(a.thresholds, b.thresholds) and np.allclose(a.weights, b.weights, atol=1e-5)
+
+
+def test_rare_grades_are_drawn_whole():
+    assert quality.SAMPLE >= 12_000
+    assert quality.quotas(np.array([14_094, 10_423, 77_722]), 12_000).tolist() == [4000, 4000, 4000]
+    assert quality.quotas(np.array([2766, 900, 15_670]), 12_000).tolist() == [2766, 900, 8334]
+    assert quality.quotas(np.array([3, 0, 2]), 12_000).tolist() == [3, 0, 2]
+
+
+def test_rare_grade_in_the_sample(spark, monkeypatch):
+    rows, labels = tables(spark, 400)
+    # One toxic text in 40: a uniform draw of 40 labels holds about one of them.
+    rare = [x for x in labels if not x[2] or x[0] % 40 == 1]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda *a, stands_for=None, **b: seen.append((a[3], stands_for)))
+    marks = spark.createDataFrame(rare, "doc_id long, quality int, toxic int")
+    quality.trained(documents(spark, rows), marks, sample=40)
+    [(grade, stands_for)] = seen
+    assert np.bincount(grade).tolist() == [15, 10, 15]
+    assert np.allclose(np.bincount(grade) * stands_for, [100, 10, 200])
+
+
+def test_weights_of_a_draw_are_those_of_copies():
+    rng = np.random.default_rng(2)
+    x, grade = rng.normal(size=(90, 5)), np.repeat([0, 1, 2], 30)
+    text, feature = np.nonzero(x)
+    drawn = quality.fit(text, feature, x[text, feature], grade, stands_for=np.array([1, 1, 4]))
+    copies = np.concatenate([np.arange(90), *[np.arange(60, 90)] * 3])
+    text, feature = np.nonzero(x[copies])
+    whole = quality.fit(text, feature, x[copies][text, feature], grade[copies])
+    assert np.allclose(drawn.weights, whole.weights, atol=1e-3) and np.allclose(drawn.thresholds, whole.thresholds, atol=1e-3)
