@@ -1,8 +1,9 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its lower-case words (what spaces separate). A line goes
-when an earlier line, in the order of ``doc_id`` and line number, has a Jaccard
-similarity of 0.8 or more with it, whether or not that line stays.
+when an earlier line, in the order of ``doc_id``, line number and row, has a
+Jaccard similarity of 0.8 or more with it, whether or not that line stays. Rows
+are numbered when the documents are written, and lines are named by that number.
 
 Lines with the same set are one, named by two 64-bit hashes, with the earliest
 place. The words of a set are put in order of rarity: counts of all words of
@@ -21,10 +22,10 @@ its few rarest words; only sets for which that finds no earlier match are
 joined with all others.
 
 Defined cases: a null text stays null; a line without words stays; rows that
-share an id, or have none, are one document here: equal lines at the same line
-number stay in all of them; a null id is before any other; a text whose lines
-all go becomes empty; an empty table gives no rows; other columns pass through
-:func:`without_repeated_lines`, whatever their names.
+share an id, or have none, are documents of their own: similar lines at the same
+line number are in the order of the rows; a null id is before any other; a text
+whose lines all go becomes empty; an empty table gives no rows; other columns
+pass through :func:`without_repeated_lines`, whatever their names.
 """
 
 from math import floor, log2
@@ -48,9 +49,9 @@ def word_hashes(line: Column) -> Column:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of all lines."""
+    """(row, doc_id, line_no, line) of all lines."""
     return docs.filter("text IS NOT NULL").select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
+        "row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     )
 
 
@@ -80,8 +81,8 @@ def needed(size: Column) -> Column:
 
 
 def sets_of_lines(docs: DataFrame, levels: Column) -> DataFrame:
-    """(doc_id, line_no, k1, k2, n, bits, prefix) of the lines that have words."""
-    keys = exploded(docs).select("doc_id", "line_no", ordered(word_hashes(F.col("line")), levels).alias("words"))
+    """(row, doc_id, line_no, k1, k2, n, bits, prefix) of the lines that have words."""
+    keys = exploded(docs).select("row", "doc_id", "line_no", ordered(word_hashes(F.col("line")), levels).alias("words"))
 
     def parity(half: int) -> Column:
         """Half of 128 bits; each word flips one of them, chosen by seven bits of its hash."""
@@ -94,6 +95,7 @@ def sets_of_lines(docs: DataFrame, levels: Column) -> DataFrame:
 
     size = F.size("words")
     return keys.filter(size > 0).select(
+        "row",
         "doc_id",
         "line_no",
         F.xxhash64("words").alias("k1"),
@@ -108,7 +110,7 @@ def sets_of_lines(docs: DataFrame, levels: Column) -> DataFrame:
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """One row a set, with its earliest place."""
     return lines.groupBy("k1", "k2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"),
+        F.min(F.struct("doc_id", "line_no", "row")).alias("first"),
         F.any_value("n").alias("n"),
         F.any_value("bits").alias("bits"),
         F.any_value("more_bits").alias("more_bits"),
@@ -158,13 +160,12 @@ def neighbours(sets: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(later) of the pairs (later, earlier) whose words are similar."""
     wanted = pairs.select(F.col("later").alias("k1")).union(pairs.select("earlier")).distinct()
-    places = written(sets.select("k1", "first.doc_id", "first.line_no").join(wanted, "k1"), "line-places")
-    here = places.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "line_no")).alias("asked"))
+    places = written(sets.select("k1", "first.row", "first.line_no").join(wanted, "k1"), "line-places")
+    here = places.groupBy("row").agg(F.collect_list(F.struct("k1", "line_no")).alias("asked"))
     # Places grow with the documents: a merge join at every size.
     texts = (
         docs.filter("text IS NOT NULL")
-        .alias("d")
-        .join(here.hint("merge").alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")))
+        .join(here.hint("merge"), "row")
         .select(F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a"))
         .select("a.k1", F.get("lines", F.col("a.line_no")).alias("line"))
         .select("k1", F.array_distinct(F.array_remove(F.split(F.lower("line"), " "), "")).alias("words"))
@@ -177,11 +178,11 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the line numbers that go, for the documents that lose any."""
+    """(row, gone): the line numbers that go, for the rows of (row, doc_id, text) that lose any."""
     whole = written(sets_of_lines(docs, rarity(docs)), "line-sets")
     sets = written(distinct_sets(whole), "distinct-sets")
     # From here lines need their names only.
-    lines = written(whole.select("doc_id", "line_no", "k1", "k2"), "line-names")
+    lines = written(whole.select("row", "line_no", "k1", "k2"), "line-names")
     dropped(whole)
     pairs = written(neighbours(sets), "line-pairs")
     matched = written(verified(pairs, sets, docs), "lines-matched")
@@ -212,9 +213,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     more = written(verified(written(pairs, "line-pairs"), sets, docs), "lines-matched")
     going = matched.unionByName(more).distinct().select(F.col("later").alias("k1"), F.lit(True).alias("going"))
     marks = sets.select("k1", "k2", "first").join(going, "k1", "left")
-    placed = lines.select("doc_id", "line_no", "k1", "k2").join(marks, ["k1", "k2"])
-    here = F.struct("doc_id", "line_no")
-    return placed.filter(F.col("going") | (here != F.col("first"))).groupBy("doc_id").agg(
+    placed = lines.join(marks, ["k1", "k2"])
+    elsewhere = (F.col("row") != F.col("first.row")) | (F.col("line_no") != F.col("first.line_no"))
+    return placed.filter(F.col("going") | elsewhere).groupBy("row").agg(
         F.collect_set("line_no").alias("gone")
     )
 
@@ -222,18 +223,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with the lines gone from ``text``; ``counts`` names columns for lines there were and went."""
     names = counts or tuple(fresh(docs.columns, "n_lines", "n_removed"))
-    of, gone, kept = fresh([*docs.columns, *names], "of", "gone", "kept")
-    lost = written(repeated_lines(docs.select("doc_id", "text")), "lines-gone").toDF(of, gone)
+    row, gone, kept = fresh([*docs.columns, *names], "row", "gone", "kept")
+    docs, columns = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-docs"), docs.columns
+    whole = docs.select(F.col(row).alias("row"), "doc_id", "text")
+    lost = written(repeated_lines(whole), "lines-gone").toDF(row, gone)
     lines = F.split("text", "\n", -1)
     places = F.sequence(F.lit(0), F.size(lines) - 1)
-    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(of)), "left")
+    joined = docs.join(lost, row, "left")
     left = F.when(F.col(gone).isNull(), places).otherwise(F.array_except(places, F.col(gone)))
     texts = F.array_join(F.transform(F.col(kept), lambda i: F.get(lines, i)), "\n")
     result = joined.withColumn(kept, F.when(F.col("text").isNotNull(), left))
     result = result.withColumn(names[0], F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     result = result.withColumn(names[1], F.col(names[0]) - F.coalesce(F.size(kept), F.lit(0)))
     result = result.withColumn("text", F.when(F.col(names[1]) == 0, F.col("text")).otherwise(texts))
-    return result.select(*[F.col(f"`{c}`") for c in docs.columns], *(counts or ()))
+    return result.select(*[F.col(f"`{c}`") for c in columns], *(counts or ()))
 
 
 SQL = r"""

@@ -119,3 +119,36 @@ def test_lines_against_all_pairs(spark):
 
 def test_lines_of_an_empty_table(spark):
     assert lines.without_repeated_lines(documents(spark, [])).collect() == []
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    same, other = "one two three four five", "six seven eight nine ten"
+    # A null id is before 7, and lines of one id are in the order of line numbers: ``same`` stays at line 0.
+    rows = [
+        (None, f"alpha beta\n{same}\ngamma delta"),
+        (None, f"epsilon zeta\neta theta\n{same} "),
+        (None, f"{same}\n{other}\niota kappa"),
+        (7, f"lambda mu\n{other} \nnu xi"),
+        (7, "omicron pi\nrho sigma\nnu xi"),
+        (7, "tau upsilon\nphi chi\nnu xi"),
+    ]
+    left = lines.without_repeated_lines(documents(spark, rows).coalesce(1), ("had", "lost")).collect()
+    assert sorted((r.text for r in left)) == sorted(
+        [
+            "alpha beta\ngamma delta",
+            "epsilon zeta\neta theta",
+            f"{same}\n{other}\niota kappa",
+            "lambda mu\nnu xi",
+            "omicron pi\nrho sigma",
+            "tau upsilon\nphi chi",
+        ]
+    )
+    assert sorted((r.had, r.lost) for r in left) == [(3, 0)] + [(3, 1)] * 5
+
+
+def test_words_of_the_own_row_confirm_a_pair(spark):
+    # Nine of ten words in common, under one id, at one line number.
+    words = [f"w{k}" for k in range(10)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:9], "other"])), (None, "quite another line")]
+    left = lines.without_repeated_lines(documents(spark, rows).coalesce(1)).collect()
+    assert sorted(r.text for r in left) == sorted(["", "quite another line", rows[0][1]])
