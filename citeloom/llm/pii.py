@@ -1,8 +1,9 @@
 """Personal data by weak supervision: labelers vote, a trained classifier decides.
 
 Four fixed patterns (email, ip, card, phone) give base spans, which always
-stay. A wider pattern proposes more: long keys that mix letters and digits
-(``secret``) and loosely grouped numbers (``number``). Labelers of three sorts
+stay. A wider pattern proposes more: what a secret word and = or : name, long
+runs that mix kinds of character (``secret``) and loosely grouped numbers
+(``number``). Labelers of three sorts
 vote on each proposal for, against or not at all: regular expressions on its
 shape, gazetteers of the words before it, and its context. Expectation
 maximisation over the counts of vote patterns estimates how reliable each
@@ -37,10 +38,19 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+SECRET_WORDS = "password|passwd|pwd|secret|token|key|apikey|credential|credentials|passwort|contraseña|clave|mot de passe"
+#: What follows a secret word and = or :, without quotes and closing marks. The first test is cheap and rules out most places.
+NAMED = (
+    rf"(?<=[=:\s\"'])(?<=[=:][ \t]{{0,3}}[\"']?)(?<=(?<!\p{{L}})(?iu:{SECRET_WORDS})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)"
+    r"[^\s\"']*[^\s\"',;.)]"
+)
+#: Long runs of the letters of keys that hold two kinds of character, with their padding.
+RUN = "A-Za-z0-9_+/-"
+LONG = rf"(?<![{RUN}])(?!(?:[a-z]++|[A-Z]++|[0-9]++|[_+/-]++)(?![{RUN}]))[{RUN}]{{15,}}[A-Za-z0-9_]={{0,2}}"
 WIDE = (
-    r"(?<![A-Za-z0-9_])(?:[+(]?[0-9][0-9 ().\-/]{4,}[0-9](?![A-Za-z0-9_])|[A-Za-z_]*+[0-9][A-Za-z0-9_]{11,}+)"
+    r"(?<![A-Za-z0-9_])[+(]?[0-9][0-9 ().\-/]{4,}[0-9](?![A-Za-z0-9_])"
+    rf"|{NAMED}|{LONG}|(?<![A-Za-z0-9_])[A-Za-z_]*+[0-9][A-Za-z0-9_]{{11,}}+"
 )
-SECRET_WORDS = "password|passwd|pwd|secret|token|key|apikey|credential|credentials|passwort|contraseña|clave|mot de passe"
 NUMBER_WORDS = (
     "phone|telephone|tel|mobile|cell|call|fax|card|account|ssn|passport|iban|telefon|handy|konto|teléfono|móvil|"
     "tarjeta|cuenta|téléphone|portable|carte|compte"
@@ -161,7 +171,7 @@ def proposals(text: Column, base: Column) -> Column:
 
     some = F.transform(matches(text, WIDE), judged)
     none = F.array().cast("array<struct<start:int,place:int,end:int,trait:int,votes:array<int>>>")
-    return F.when(text.rlike("[0-9]"), some).otherwise(none)
+    return F.when(text.rlike(rf"[0-9=:]|[{RUN}]{{16}}"), some).otherwise(none)
 
 
 @dataclass
@@ -228,9 +238,12 @@ def train(patterns: list[Row], rounds: int = 300, rate: float = 0.5, decay: floa
     total = sum(p["n"] for p in patterns)
     if not total:
         return Judge(-1.0, judge.votes, {})
+    # Labelers err in other ways on keys than on numbers, so each sort has its own expectations.
+    sorts = [[p for p in patterns if p["trait"] % 12 // 6 == k] for k in (0, 1)]
+    patterns = [p for of in sorts for p in of]
     # Patterns of votes weigh by the root of their count: a common one doesn't drown the rest.
     weights = [p["n"] ** 0.5 for p in patterns]
-    wanted = posteriors(patterns)
+    wanted = [y for of in sorts for y in posteriors(of)]
     scale = rate / sum(weights)
     for _ in range(rounds):
         error = [w * (y - _sigmoid(judge.score(p["votes"], p["trait"]))) for p, y, w in zip(patterns, wanted, weights)]
