@@ -100,6 +100,11 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
     return (mix(chosen) >> np.uint64(32)).astype(np.uint32).reshape(n, m)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One bit a register, from a hash of its shingle and its number: a shingle in many registers has bits of its own in each."""
+    return (mix(found + np.arange(1, found.shape[1] + 1, dtype=np.uint64) * _GOLDEN) & np.uint64(1)).astype(np.uint8)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard of two weighted sets (shingles in order, weights).
 
@@ -138,7 +143,7 @@ def signed(docs: DataFrame, names: list[str]) -> DataFrame:
                 for k in range(ROWS):
                     keys = mix(keys + found[:, k::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN)
                 bits = np.zeros((size, 128), np.uint8)
-                bits[:, :REGISTERS] = found & 1
+                bits[:, :REGISTERS] = sketch(found)
                 bits = np.packbits(bits, axis=1).view("<i8")
                 used = np.array([bool(t) for t in texts])
                 yield pa.RecordBatch.from_arrays(

@@ -99,3 +99,18 @@ def test_components(spark):
     links = [(a, b) for a, b in links if a != b]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == groups(links, {x for pair in links for x in pair})
+
+
+def test_bits_of_short_texts_are_independent():
+    # Sets of 4 and 5 shingles, 4 in common: 0.8 alike.
+    rng, n = np.random.default_rng(8), 5000
+    sets = rng.integers(0, 2**63, (n, 5)).astype(np.uint64)
+
+    def bits(size):
+        owner = np.repeat(np.arange(n), size)
+        found = minhash.signatures(owner, sets[:, :size].ravel(), np.ones(n * size), n)
+        return minhash.sketch(found)
+
+    apart = (bits(4) != bits(5)).sum(axis=1)
+    assert abs(apart.mean() - minhash.REGISTERS / 10) < 0.5
+    assert (apart > minhash.MOST_APART).sum() <= 1
