@@ -33,6 +33,7 @@ def load_all() -> None:
         mixing,
         pii,
         quality,
+        repair,
         secrets,
         substrings,
         topk,
