@@ -37,4 +37,5 @@ def load_all() -> None:
         secrets,
         substrings,
         topk,
+        trie,
     )
