@@ -311,7 +311,7 @@ _DIAG = {
 )
 def _(spark, folder):
     hits = lexical.diagnostic_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=shared.question_count(spark, folder)
+        t.questions(spark, folder), shared.diagnostic_index(spark, folder), n_queries=shared.question_count(spark, folder)
     ).select(F.col("query_id").alias("case_id"), "rank", F.col("version_id").alias("source_id"))
     facts = evaluation.case_facts(cases(spark, folder), expected(spark, folder), hits, hits.where("rank <= 6"))
     return tidy(evaluation.lexical_by_type(facts))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from citeloom import fixed
 from citeloom.catalogue import query
-from citeloom.catalogue.shared import branches, question_count, selected
+from citeloom.catalogue.shared import branches, diagnostic_index, hash_index, lexical_index, question_count, selected
 from citeloom.catalogue.sqlbase import fold, greedy_fold, near_views, sql
 from citeloom.catalogue.tidy import tidy
 from citeloom.functions import safety as sf
@@ -162,7 +162,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     hits = lexical.lexical_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
+        t.questions(spark, folder), lexical_index(spark, folder), n_queries=question_count(spark, folder)
     )
     return tidy(hits)
 
@@ -183,7 +183,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     hits = lexical.diagnostic_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
+        t.questions(spark, folder), diagnostic_index(spark, folder), n_queries=question_count(spark, folder)
     )
     return tidy(hits)
 
@@ -275,7 +275,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     hits = vectors.hash_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
+        t.questions(spark, folder), hash_index(spark, folder), n_queries=question_count(spark, folder)
     )
     return tidy(hits)
 
@@ -350,7 +350,7 @@ def _(spark, folder):
 def _(spark, folder):
     """The second check: a third of the documents was withdrawn after the search."""
     hits = lexical.lexical_hits(
-        t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
+        t.questions(spark, folder), lexical_index(spark, folder), n_queries=question_count(spark, folder)
     )
     still = t.versions(spark, folder).where("document_id % 3 <> 0")
     return tidy(fusion.active_only(hits, still), "query_id", "version_id", "chunk_id", "rank")

@@ -1,8 +1,12 @@
-"""Tables that several queries start from, searched and written once a session."""
+"""Tables that several queries start from, made and written once a session.
+
+They are told apart by the state of their input: a table that was changed since
+is made anew.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.operators import dedup, fusion
+from citeloom.operators import dedup, fusion, lexical, vectors
 from citeloom.plans import ask, assess
 from citeloom.session import shared_dir, write_table
 from citeloom.sources import tables as t
@@ -10,16 +14,42 @@ from citeloom.sources import tables as t
 _KEPT: dict[tuple, object] = {}
 
 
+INDEXES = ("hash-index", "lexical-index", "diagnostic-index")
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and time of change of every input table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return tuple(sorted((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in found))
+
+
 def _once(spark: SparkSession, folder: str, name: str, make):
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, _state(spark, folder), name)
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def forget() -> None:
-    """Make the next query search again."""
-    _KEPT.clear()
+    """Make the next query search again; indexes are kept, as they hold nothing of the questions."""
+    for key in [k for k in _KEPT if k[-1] not in INDEXES]:
+        del _KEPT[key]
+
+
+def hash_index(spark, folder) -> DataFrame:
+    make = vectors.hash_index
+    return _once(spark, folder, "hash-index", lambda: _kept(make(t.active_chunks(spark, folder)), "hash-index"))
+
+
+def lexical_index(spark, folder) -> DataFrame:
+    make = lexical.lexical_index
+    return _once(spark, folder, "lexical-index", lambda: _kept(make(t.active_chunks(spark, folder)), "lexical-index"))
+
+
+def diagnostic_index(spark, folder) -> DataFrame:
+    make = lexical.diagnostic_index
+    return _once(spark, folder, "diagnostic-index", lambda: _kept(make(t.active_chunks(spark, folder)), "diagnostic-index"))
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +77,10 @@ def branches(spark, folder) -> tuple[DataFrame, DataFrame]:
         folder,
         "branches",
         lambda: ask.both_branches(
-            t.questions(spark, folder), t.active_chunks(spark, folder), n_queries=question_count(spark, folder)
+            t.questions(spark, folder),
+            t.active_chunks(spark, folder),
+            (hash_index(spark, folder), lexical_index(spark, folder)),
+            n_queries=question_count(spark, folder),
         ),
     )
 

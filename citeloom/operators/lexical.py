@@ -54,31 +54,6 @@ def query_tokens(questions: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(profile, token, df) of the wanted tokens; headings and text count once.
-
-    The wanted-token filter comes before the shuffle and counts are combined
-    map-side, so a token that fills a third of the corpus costs one row a task.
-    """
-    return (
-        tokenised(chunks)
-        .select(
-            "profiles",
-            F.explode(F.array_union("heading_tokens", "text_tokens")).alias("token"),
-        )
-        .join(wanted.select("token").distinct(), "token", "left_semi")
-        .select(F.explode("profiles").alias("profile"), "token")
-        .groupBy("profile", "token")
-        .agg(F.count("*").alias("df"))
-    )
-
-
-def corpus_size(chunks: DataFrame) -> DataFrame:
-    return (
-        chunks.select(F.explode("profiles").alias("profile")).groupBy("profile").agg(F.count("*").alias("n"))
-    )
-
-
 def weighted_tokens(tokens: DataFrame, df: DataFrame, size: DataFrame) -> DataFrame:
     """Question tokens with idf = ln((N + 1) / (df + 1)) + 1; unknown tokens drop out."""
     return (
@@ -93,29 +68,32 @@ def weighted_tokens(tokens: DataFrame, df: DataFrame, size: DataFrame) -> DataFr
     )
 
 
-def lexical_segments(chunks: DataFrame) -> DataFrame:
+def lexical_index(chunks: DataFrame) -> DataFrame:
+    """The inverted index of chunks (version_id, chunk_id, text, heading_path, profiles).
+
+    One scan splits every text; worth writing once. A search reads postings only.
+    """
     fields = {"text_tokens": fixed.TEXT_BOOST, "heading_tokens": fixed.HEADING_BOOST}
     return segments.build_segments(tokenised(chunks), fields, "log_tf")
 
 
 def lexical_hits(
-    questions: DataFrame,
-    chunks: DataFrame,
-    *,
-    n_queries: int,
-    k: int = fixed.MAX_CANDIDATES,
-    index: DataFrame | None = None,
+    questions: DataFrame, index: DataFrame, *, n_queries: int, k: int = fixed.MAX_CANDIDATES
 ) -> DataFrame:
     """The best ``k`` (at most 20) chunks per question by lexical score.
 
-    ``questions``: query_id, profile, queries (array of variants). ``chunks``:
-    version_id, chunk_id, text, heading_path, profiles. ``index`` is an
-    optional table written from :func:`lexical_segments`.
+    ``questions``: query_id, profile, queries (array of variants). ``index`` is
+    a table written from :func:`lexical_index`. Headings and text count once
+    in a token's document frequency.
     """
-    tokens = query_tokens(questions)
-    weighted = weighted_tokens(tokens, document_frequency(chunks, tokens), corpus_size(chunks))
-    packed = lexical_segments(chunks) if index is None else index
-    return segments.top_k(packed, weighted, fixed.bounded(k), n_queries=n_queries)
+    return indexed_hits(query_tokens(questions), index, n_queries=n_queries, k=fixed.bounded(k))
+
+
+def indexed_hits(tokens: DataFrame, index: DataFrame, *, n_queries: int, k: int) -> DataFrame:
+    """Best ``k`` chunks for the question tokens (query_id, profile, token), all from the index."""
+    wanted = tokens.select(F.col("token").alias("f"))
+    df = segments.frequencies(index, wanted, n_queries=n_queries).withColumnRenamed("f", "token")
+    return segments.top_k(index, weighted_tokens(tokens, df, segments.sizes(index)), k, n_queries=n_queries)
 
 
 def match_statistics(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -150,27 +128,23 @@ def match_statistics(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 # --- diagnostic scorer: distinct tokens of the text only ----------------------
 
 
-def diagnostic_hits(questions: DataFrame, chunks: DataFrame, *, n_queries: int, k: int = 20) -> DataFrame:
-    """Sum of idf over shared distinct tokens; N counts chunks that have any token."""
+def diagnostic_index(chunks: DataFrame) -> DataFrame:
+    """The inverted index of distinct diagnostic tokens; chunks without any are left out and not counted."""
     tokens = chunks.select(
         "version_id",
         "chunk_id",
         segments.admit_all().alias("profiles"),
         tx.diagnostic_tokens(F.col("text")).alias("tokens"),
     ).where(F.size("tokens") > 0)
+    return segments.build_segments(tokens, {"tokens": 1.0}, "log_tf")
+
+
+def diagnostic_hits(questions: DataFrame, index: DataFrame, *, n_queries: int, k: int = 20) -> DataFrame:
+    """Sum of idf over shared distinct tokens, from a written :func:`diagnostic_index`."""
     asked = questions.select(
         "query_id", F.lit(0).alias("profile"), F.explode(tx.diagnostic_tokens(F.col("question"))).alias("token")
     )
-    df = (
-        tokens.select(F.explode("tokens").alias("token"))
-        .join(asked.select("token").distinct(), "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count("*").alias("df"))
-        .withColumn("profile", F.lit(0))
-    )
-    weighted = weighted_tokens(asked, df, corpus_size(tokens))
-    packed = segments.build_segments(tokens, {"tokens": 1.0}, "log_tf")
-    return segments.top_k(packed, weighted, k, n_queries=n_queries)
+    return indexed_hits(asked, index, n_queries=n_queries, k=k)
 
 
 def ranked(hits: DataFrame, *order) -> DataFrame:

@@ -7,7 +7,14 @@ questions are packed into blocks of a few hundred. A segment meets a block in
 one task, which scores them in memory and passes on only rows that can still
 reach the top k. So the shuffle carries about ``k`` rows per question and
 task, whatever the number of chunks, and memory is bounded by one segment
-times one block. Every chunk is scored: the result is exact.
+times one block.
+
+Segments of counted features are inverted: postings by feature, in runs of
+``RUN`` chunks, each run with the largest weight in it. A question's sum of such
+bounds is what a run can reach at best. The most promising runs are scored
+first; runs that can't reach the k-th best score by then are never read. The
+result is exact. Segments are worth keeping: nothing in them depends on the
+questions, and searching them splits no text.
 """
 
 from collections.abc import Iterator
@@ -26,6 +33,9 @@ BLOCK_QUERIES = 512
 # Questions have at most 1000 characters, so this many are a bounded broadcast.
 ROUND_BLOCKS = 8
 SCORE_DIGITS = 9
+#: Chunks under one bound, and how many runs are scored before bounds are tested.
+RUN = 64
+FIRST_RUNS = 2
 
 
 def build_segments(
@@ -40,7 +50,8 @@ def build_segments(
     ``chunks`` has ``version_id``, ``chunk_id``, ``profiles`` (the eligibility
     profiles that admit the chunk) and one array column per field. Weights:
     ``log_tf`` gives boost * (1 + ln tf) summed over fields; ``cosine`` gives
-    unit-length counts; ``dense`` takes the single field as a vector.
+    unit-length counts; ``dense`` takes the single field as a vector. Beside
+    each segment stands how many of its chunks every profile admits.
     """
     names = list(fields)
     boosts = [float(fields[n]) for n in names]
@@ -49,21 +60,52 @@ def build_segments(
         for batch in batches:
             for start in range(0, batch.num_rows, rows_per_segment):
                 part = batch.slice(start, rows_per_segment)
-                columns = [part.column(i) for i in range(3)]
+                columns = {n: part.column(i) for i, n in enumerate("vcp")}
                 if weighting == "dense":
-                    columns.append(part.column(3))
-                    segment = pa.RecordBatch.from_arrays(columns, ["v", "c", "p", "x"])
+                    columns["x"] = part.column(3)
                 else:
-                    columns += _counted([part.column(3 + i) for i in range(len(names))], boosts, weighting)
-                    segment = pa.RecordBatch.from_arrays(columns, ["v", "c", "p", "f", "w"])
+                    columns |= _inverted([part.column(3 + i) for i in range(len(names))], boosts, weighting)
+                # One row of lists: they differ in length.
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns.values()]
+                segment = pa.RecordBatch.from_arrays(lists, list(columns))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, segment.schema) as writer:
                     writer.write_batch(segment)
+                found = pc.list_flatten(columns["p"]).value_counts().to_pylist()
+                sizes = [{"profile": x["values"], "n": x["counts"]} for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["segment"]
+                    [
+                        pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                        pa.array([sizes], pa.list_(pa.struct([("profile", pa.int32()), ("n", pa.int64())]))),
+                    ],
+                    ["segment", "sizes"],
                 )
 
-    return chunks.select("version_id", "chunk_id", "profiles", *names).mapInArrow(pack, "segment binary")
+    return chunks.select("version_id", "chunk_id", "profiles", *names).mapInArrow(
+        pack, "segment binary, sizes array<struct<profile:int,n:bigint>>"
+    )
+
+
+def sizes(segments: DataFrame) -> DataFrame:
+    """(profile, n): the chunks that each profile admits."""
+    return segments.select(F.inline("sizes")).groupBy("profile").agg(F.sum("n").alias("n"))
+
+
+def frequencies(segments: DataFrame, wanted: DataFrame, *, n_queries: int) -> DataFrame:
+    """(profile, f, df): chunks of a profile that have a feature, for the features ``wanted`` (f).
+
+    Counted on the postings of a segment; the shuffle carries one row per
+    segment, profile and wanted feature.
+    """
+    n_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
+    blocks = (
+        wanted.select(F.col("f").cast("string").alias("f"))
+        .distinct()
+        .groupBy(F.pmod(F.xxhash64("f"), F.lit(n_blocks)).cast("int").alias("block"))
+        .agg(F.collect_list(F.struct("f")).alias("entries"))
+    )
+    found = _met(segments, blocks, n_blocks, _count, "profile int, f string, df bigint")
+    return found.groupBy("profile", "f").agg(F.sum("df").alias("df"))
 
 
 def top_k(segments: DataFrame, features: DataFrame, k: int, *, n_queries: int) -> DataFrame:
@@ -76,7 +118,7 @@ def top_k(segments: DataFrame, features: DataFrame, k: int, *, n_queries: int) -
     """
     dense = "x" in features.columns
     n_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    payload = ["query_id", "profile", "x"] if dense else ["query_id", "profile", "f", "w"]
+    payload = ["query_id", "profile", "x"] if dense else ["query_id", "profile", F.col("f").cast("string").alias("f"), "w"]
     blocks = (
         features.select(
             F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"),
@@ -85,43 +127,45 @@ def top_k(segments: DataFrame, features: DataFrame, k: int, *, n_queries: int) -
         .groupBy("block")
         .agg(F.collect_list("entry").alias("entries"))
     )
-    search = _dense_search(k) if dense else _sparse_search(k)
-    if n_blocks <= ROUND_BLOCKS:
-        found = _scored(segments, blocks, 0, n_blocks, search)
-    else:
-        # Too many questions to broadcast at once: keep both sides as tables
-        # and read the segments once per round. Still exact, still no shuffle
-        # of chunks.
-        spark = segments.sparkSession
-        segments = write_table(segments, shared_dir(spark, "segments"))
-        blocks = write_table(blocks, shared_dir(spark, "questions"))
-        found = reduce(
-            DataFrame.unionByName,
-            [
-                _scored(segments, blocks, first, min(first + ROUND_BLOCKS, n_blocks), search)
-                for first in range(0, n_blocks, ROUND_BLOCKS)
-            ],
-        )
+    search = _search(_DenseBlock if dense else _SparseBlock, k)
+    found = _met(segments, blocks, n_blocks, search, "query_id string, version_id string, chunk_id string, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "version_id", "chunk_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _scored(segments: DataFrame, blocks: DataFrame, first: int, end: int, search) -> DataFrame:
-    """Meet every segment with the blocks ``first`` to ``end - 1`` of one round."""
+def _met(segments: DataFrame, blocks: DataFrame, n_blocks: int, work, schema: str) -> DataFrame:
+    """``work`` on every segment with every block."""
+    if n_blocks <= ROUND_BLOCKS:
+        return _round(segments, blocks, 0, n_blocks, work, schema)
+    # Too many questions to broadcast at once: keep both sides as tables
+    # and read the segments once per round. Still exact, still no shuffle
+    # of chunks.
+    spark = segments.sparkSession
+    segments = write_table(segments, shared_dir(spark, "segments"))
+    blocks = write_table(blocks, shared_dir(spark, "questions"))
+    rounds = range(0, n_blocks, ROUND_BLOCKS)
+    return reduce(
+        DataFrame.unionByName,
+        [_round(segments, blocks, first, min(first + ROUND_BLOCKS, n_blocks), work, schema) for first in rounds],
+    )
+
+
+def _round(segments: DataFrame, blocks: DataFrame, first: int, end: int, work, schema: str) -> DataFrame:
+    """Every segment with the blocks ``first`` to ``end - 1``."""
     grid = segments.select("segment", F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("block"))
     held = blocks.where(F.col("block").between(first, end - 1))
-    return (
-        grid.join(F.broadcast(held), "block")
-        .select("block", "entries", "segment")
-        .mapInArrow(search, "query_id string, version_id string, chunk_id string, score double")
-    )
+    return grid.join(F.broadcast(held), "block").select("block", "entries", "segment").mapInArrow(work, schema)
 
 
 # --- inside the tasks --------------------------------------------------------
 
 
-def _counted(lists: list, boosts: list[float], weighting: str) -> list:
-    """Count each chunk's features and weight them: [list<dictionary>, list<double>]."""
+def _inverted(lists: list, boosts: list[float], weighting: str) -> dict[str, pa.Array]:
+    """Each chunk's features counted and weighted, as postings by feature.
+
+    ``f`` features; ``fr`` end of each one's runs; ``rn`` number of a run, ``rb`` its
+    largest weight, ``re`` end of its postings; ``at`` place of a chunk, ``w`` weight.
+    """
     rows = len(lists[0])
     parents, values, boost = [], [], []
     for column, factor in zip(lists, boosts):
@@ -132,49 +176,82 @@ def _counted(lists: list, boosts: list[float], weighting: str) -> list:
         boost.append(np.full(len(parent), factor))
     encoded = pa.concat_arrays(values).dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    size = max(len(encoded.dictionary), 1)
     parent, factor = np.concatenate(parents), np.concatenate(boost)
-    # Count per (chunk, feature, field): fields differ in their boost.
+    # Count per (feature, chunk, field): fields differ in their boost.
     field = np.concatenate([np.full(len(p), i) for i, p in enumerate(parents)]) if len(lists) > 1 else 0
-    key, first, tf = np.unique(
-        (parent * size + codes) * len(lists) + field, return_index=True, return_counts=True
-    )
+    key, first, tf = np.unique((codes * rows + parent) * len(lists) + field, return_index=True, return_counts=True)
     cell = key // len(lists)
     if weighting == "log_tf":
         weight = factor[first] * (1.0 + np.log(tf))
         cell, inverse = np.unique(cell, return_inverse=True)
         weight = np.bincount(inverse, weights=weight, minlength=len(cell)) if len(cell) else weight
     else:
-        length = np.sqrt(np.bincount(cell // size, weights=tf.astype(float) ** 2, minlength=rows))
-        weight = tf / length[cell // size]
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(cell // size, minlength=rows))]).astype(np.int32)
-    coded = pa.DictionaryArray.from_arrays(pa.array((cell % size).astype(np.int32)), encoded.dictionary)
-    return [
-        pa.ListArray.from_arrays(pa.array(offsets), coded),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(weight, pa.float64())),
-    ]
+        length = np.sqrt(np.bincount(cell % rows, weights=tf.astype(float) ** 2, minlength=rows))
+        weight = tf / length[cell % rows]
+    feature, at = cell // rows, cell % rows
+    runs_of = feature * (rows // RUN + 1) + at // RUN
+    starts = np.flatnonzero(np.diff(runs_of, prepend=-1))
+    largest = np.maximum.reduceat(weight, starts) if len(starts) else weight
+    per_feature = np.bincount(feature[starts], minlength=len(encoded.dictionary))
+    return {
+        "f": encoded.dictionary.cast(pa.string()),
+        "fr": pa.array(np.cumsum(per_feature).astype(np.int32)),
+        "rn": pa.array((at[starts] // RUN).astype(np.int32)),
+        "rb": pa.array(largest.astype(np.float64)),
+        "re": pa.array(np.append(starts[1:], len(cell)).astype(np.int32) if len(starts) else np.zeros(0, np.int32)),
+        "at": pa.array(at.astype(np.int32)),
+        "w": pa.array(weight.astype(np.float64)),
+    }
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number of the ranges, and the range it is from."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    return np.arange(len(owner)) - first[owner] + starts[owner], owner
 
 
 class _Segment:
     def __init__(self, payload: bytes) -> None:
         batch = pa.ipc.open_stream(payload).read_next_batch()
-        self.batch, self.rows = batch, batch.num_rows
-        self.version, self.chunk = batch.column("v"), batch.column("c")
+        self.columns = {n: batch.column(n).flatten() for n in batch.schema.names}
+        self.version, self.chunk = self.columns["v"], self.columns["c"]
+        self.rows = len(self.version)
         order = pc.sort_indices(
             pa.table({"v": self.version, "c": self.chunk}),
             sort_keys=[("v", "ascending"), ("c", "ascending")],
         ).to_numpy()
         self.order = np.empty(self.rows, np.int64)
         self.order[order] = np.arange(self.rows)
-        profiles = batch.column("p")
+        profiles = self.columns["p"]
         self._owner = pc.list_parent_indices(profiles).to_numpy(zero_copy_only=False)
         self._profile = pc.list_flatten(profiles).to_numpy(zero_copy_only=False)
 
+    def profiles(self) -> np.ndarray:
+        return np.unique(self._profile)
+
     def admitted(self, profile: int) -> np.ndarray:
         mask = np.zeros(self.rows, bool)
         mask[self._owner[self._profile == profile]] = True
         return mask
 
+    def numbers(self, name: str) -> np.ndarray:
+        return self.columns[name].to_numpy(zero_copy_only=False)
+
+    def runs(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of the wanted features that are here, and which feature each is of."""
+        code = pc.index_in(wanted, value_set=self.columns["f"]).fill_null(-1).to_numpy(zero_copy_only=False)
+        here = np.flatnonzero(code >= 0)
+        ends = self.numbers("fr").astype(np.int64)
+        run, which = _spread(np.concatenate([[0], ends])[code[here]], ends[code[here]])
+        return run, here[which]
+
+    def postings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Postings of the runs, and which run each is of."""
+        ends = self.numbers("re").astype(np.int64)
+        return _spread(np.concatenate([[0], ends])[runs], ends[runs])
+
 
 class _Best:
     """The running k-th best score of each question of one block in this task."""
@@ -220,29 +297,51 @@ class _SparseBlock:
         self.profile = np.zeros(len(self.queries), np.int64)
         self.profile[ids] = entries.field("profile").to_numpy(zero_copy_only=False)
         order = np.lexsort((ids, f))
-        ids, f, w = ids[order], f[order], w[order]
-        edges = np.searchsorted(f, np.arange(len(self.vocabulary) + 1))
-        self.askers = [(ids[a:b], w[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        self.asker, self.weight = ids[order], w[order]
+        self.edges = np.searchsorted(f[order], np.arange(len(self.vocabulary) + 1))
         self.best = _Best(len(self.queries), k)
 
-    def scores(self, segment: _Segment) -> np.ndarray:
-        flat = pc.list_flatten(segment.batch.column("f"))
-        owner = pc.list_parent_indices(segment.batch.column("f")).to_numpy(zero_copy_only=False)
-        weight = pc.list_flatten(segment.batch.column("w")).to_numpy(zero_copy_only=False)
-        known = pc.index_in(flat.dictionary, value_set=self.vocabulary).fill_null(-1)
-        code = known.to_numpy(zero_copy_only=False)[flat.indices.to_numpy(zero_copy_only=False)]
-        keep = code >= 0
-        code, owner, weight = code[keep], owner[keep], weight[keep]
-        order = np.argsort(code, kind="stable")
-        code, owner, weight = code[order], owner[order], weight[order]
-        present, starts = np.unique(code, return_index=True)
-        ends = np.append(starts[1:], len(code))
-        total = np.zeros((len(self.queries), segment.rows))
-        for token, a, b in zip(present, starts, ends):
-            who, idf = self.askers[token]
-            # A chunk holds a token once, so these cells are distinct.
-            total[np.ix_(who, owner[a:b])] += np.outer(idf, weight[a:b])
-        return np.round(total, SCORE_DIGITS)
+    def found(self, segment: _Segment) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(question, places, scores) worth passing on; runs that can't reach the k best aren't read."""
+        run, feature = segment.runs(self.vocabulary)
+        number, largest = segment.numbers("rn")[run].astype(np.int64), segment.numbers("rb")[run]
+        ask, of = _spread(self.edges[feature], self.edges[feature + 1])
+        n_runs, n = segment.rows // RUN + 1, len(self.queries)
+        cell = self.asker[ask] * n_runs + number[of]
+        reach = np.bincount(cell, weights=self.weight[ask] * largest[of], minlength=n * n_runs).reshape(n, n_runs)
+        # Sums in another order may differ in their last digits.
+        reach += 1e-7
+        usable = {p: segment.admitted(p) for p in np.unique(self.profile)}
+        out = []
+        first = reach >= np.partition(reach, n_runs - min(FIRST_RUNS, n_runs), axis=1)[:, [n_runs - min(FIRST_RUNS, n_runs)]]
+        done = np.zeros_like(first)
+        for chosen in (first, None):
+            if chosen is None:
+                chosen = (reach >= self.best.top.min(axis=1)[:, None]) & ~done
+            chosen &= reach > 1e-7
+            done |= chosen
+            take = chosen.ravel()[cell]
+            out += self._scored(segment, ask[take], run[of[take]], usable)
+        return out
+
+    def _scored(self, segment: _Segment, ask: np.ndarray, run: np.ndarray, usable: dict) -> list:
+        posting, of = segment.postings(run)
+        at = segment.numbers("at")[posting].astype(np.int64)
+        worth = segment.numbers("w")[posting] * self.weight[ask[of]]
+        key, inverse = np.unique(self.asker[ask[of]] * segment.rows + at, return_inverse=True)
+        if not len(key):
+            return []
+        scores = np.round(np.bincount(inverse, weights=worth), SCORE_DIGITS)
+        who, place = key // segment.rows, key % segment.rows
+        edges = np.searchsorted(who, np.arange(len(self.queries) + 1))
+        out = []
+        for q in np.unique(who):
+            part = slice(edges[q], edges[q + 1])
+            at, score = place[part], scores[part]
+            ok = self.best.offer(q, score, usable[self.profile[q]][at] & (score > 0), segment.order[at])
+            if len(ok):
+                out.append((q, at[ok], score[ok]))
+        return out
 
 
 class _DenseBlock:
@@ -252,8 +351,15 @@ class _DenseBlock:
         self.matrix = _unit_rows(entries.field("x"))
         self.best = _Best(len(self.queries), k)
 
-    def scores(self, segment: _Segment) -> np.ndarray:
-        return np.round(self.matrix @ _unit_rows(segment.batch.column("x")).T, SCORE_DIGITS)
+    def found(self, segment: _Segment) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        scores = np.round(self.matrix @ _unit_rows(segment.columns["x"]).T, SCORE_DIGITS)
+        usable = {p: segment.admitted(p) for p in np.unique(self.profile)}
+        out = []
+        for q in range(len(self.queries)):
+            at = self.best.offer(q, scores[q], usable[self.profile[q]], segment.order)
+            if len(at):
+                out.append((q, at, scores[q][at]))
+        return out
 
 
 def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -268,38 +374,44 @@ def _unit_rows(vectors: pa.ListArray) -> np.ndarray:
     return matrix / np.where(length == 0, 1.0, length)
 
 
-def _search(make_block, k: int, positive_only: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, object] = {}
-        for batch in batches:
-            ids, entries, payloads = (batch.column(i) for i in range(3))
-            for row in range(batch.num_rows):
-                key = ids[row].as_py()
-                if key not in blocks:
-                    blocks[key] = make_block(entries.slice(row, 1).flatten(), k)
-                block, segment = blocks[key], _Segment(payloads[row].as_py())
-                scores, found = block.scores(segment), []
-                admitted = {p: segment.admitted(p) for p in np.unique(block.profile)}
-                for q in range(len(block.queries)):
-                    usable = admitted[block.profile[q]]
-                    if positive_only:
-                        usable = usable & (scores[q] > 0)
-                    at = block.best.offer(q, scores[q], usable, segment.order)
-                    if len(at):
-                        found.append((q, at, scores[q][at]))
-                result = _result(block, segment, found)
-                if result is not None:
-                    yield result
+def _blocks(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple]:
+    """(block, segment) of every row; a block is made once a task."""
+    made: dict[int, object] = {}
+    for batch in batches:
+        ids, entries, payloads = (batch.column(i) for i in range(3))
+        for row in range(batch.num_rows):
+            key = ids[row].as_py()
+            if key not in made:
+                made[key] = make(entries.slice(row, 1).flatten())
+            yield made[key], _Segment(payloads[row].as_py())
 
-    return run
 
+def _search(make_block, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, segment in _blocks(batches, lambda entries: make_block(entries, k)):
+            result = _result(block, segment, block.found(segment))
+            if result is not None:
+                yield result
 
-def _sparse_search(k: int):
-    return _search(_SparseBlock, k, positive_only=True)
+    return run
 
 
-def _dense_search(k: int):
-    return _search(_DenseBlock, k, positive_only=False)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for wanted, segment in _blocks(batches, lambda entries: entries.field("f")):
+        run, feature = segment.runs(wanted)
+        posting, of = segment.postings(run)
+        feature, at = feature[of], segment.numbers("at")[posting]
+        for profile in segment.profiles():
+            counts = np.bincount(feature[segment.admitted(profile)[at]], minlength=len(wanted))
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(some), profile, np.int32)),
+                    wanted.take(pa.array(some)).cast(pa.string()),
+                    pa.array(counts[some].astype(np.int64)),
+                ],
+                ["profile", "f", "df"],
+            )
 
 
 def admit_all() -> Column:

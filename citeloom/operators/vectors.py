@@ -24,18 +24,20 @@ def hash_vector(texts: DataFrame, key: str) -> DataFrame:
     return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("length")).alias("weight"))
 
 
-def hash_hits(
-    questions: DataFrame, chunks: DataFrame, *, n_queries: int, k: int = fixed.MAX_CANDIDATES
-) -> DataFrame:
-    """Top-k chunks by cosine of hash embeddings (questions: query_id, profile, question)."""
-    packed = segments.build_segments(
+def hash_index(chunks: DataFrame) -> DataFrame:
+    """The inverted index of hash embeddings; one scan hashes every text's tokens. Worth writing once."""
+    return segments.build_segments(
         chunks.withColumn("buckets", tx.hash_buckets(F.col("text"))), {"buckets": 1.0}, "cosine"
     )
+
+
+def hash_hits(questions: DataFrame, index: DataFrame, *, n_queries: int, k: int = fixed.MAX_CANDIDATES) -> DataFrame:
+    """Top-k chunks by cosine of hash embeddings (questions: query_id, profile, question)."""
     vectors = hash_vector(questions.select("query_id", F.col("question").alias("text")), "query_id")
     features = vectors.join(questions.select("query_id", "profile"), "query_id").select(
         "query_id", "profile", F.col("bucket").alias("f"), F.col("weight").alias("w")
     )
-    return segments.top_k(packed, features, fixed.bounded(k), n_queries=n_queries)
+    return segments.top_k(index, features, fixed.bounded(k), n_queries=n_queries)
 
 
 def vector_hits(queries: DataFrame, points: DataFrame, *, n_queries: int, k: int) -> DataFrame:

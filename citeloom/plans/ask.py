@@ -9,18 +9,33 @@ from citeloom.operators import dedup, evidence, fusion, lexical, vectors, versio
 from citeloom.session import shared_dir, write_table
 
 
+def written_indexes(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hash and the lexical index of ``chunks`` (with their profiles), each written once."""
+    spark = chunks.sparkSession
+    return (
+        write_table(vectors.hash_index(chunks), shared_dir(spark, "hash-index")),
+        write_table(lexical.lexical_index(chunks), shared_dir(spark, "lexical-index")),
+    )
+
+
 def both_branches(
-    questions: DataFrame, chunks: DataFrame, *, n_queries: int, k: int = fixed.MAX_CANDIDATES
+    questions: DataFrame,
+    chunks: DataFrame,
+    indexes: tuple[DataFrame, DataFrame],
+    *,
+    n_queries: int,
+    k: int = fixed.MAX_CANDIDATES,
 ) -> tuple[DataFrame, DataFrame]:
     """Vector and lexical hits with their chunks attached.
 
-    ``questions``: query_id, profile, question, queries; ``chunks`` carries
-    profiles. The search is a job of its own: its hits (at most 40 rows a
+    ``questions``: query_id, profile, question, queries; ``indexes`` are those
+    of ``chunks``. The search is a job of its own: its hits (at most 40 rows a
     question, attached to their chunks in one read) are written once, and
     every later step starts from that table instead of searching again.
     """
-    vector = vectors.hash_hits(questions, chunks, n_queries=n_queries, k=k).withColumn("branch", F.lit("vector"))
-    words = lexical.lexical_hits(questions, chunks, n_queries=n_queries, k=k).withColumn("branch", F.lit("lexical"))
+    hashes, postings = indexes
+    vector = vectors.hash_hits(questions, hashes, n_queries=n_queries, k=k).withColumn("branch", F.lit("vector"))
+    words = lexical.lexical_hits(questions, postings, n_queries=n_queries, k=k).withColumn("branch", F.lit("lexical"))
     both = fusion.attach_chunks(vector.unionByName(words), chunks, n_queries=2 * n_queries, k=k)
     kept = write_table(both, shared_dir(both.sparkSession, "hits"))
     return kept.where("branch = 'vector'").drop("branch"), kept.where("branch = 'lexical'").drop("branch")
@@ -62,7 +77,7 @@ def retrieve(
     eligible = versions.eligible_versions(version_table, metadata, profiles)
     visible = versions.with_profiles(chunks, eligible)
     asked = question_variants(governed_questions(requests), strategy)
-    vector, words = both_branches(asked, visible, n_queries=n_queries)
+    vector, words = both_branches(asked, visible, written_indexes(visible), n_queries=n_queries)
     combined = fusion.choose_strategy(strategy, vector, words)
     return dedup.retained(combined, dedup.deduplicate(combined))
 

@@ -4,14 +4,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators import dedup, evidence, fusion
-from citeloom.plans.ask import both_branches
+from citeloom.plans.ask import both_branches, written_indexes
 
 
 def arm_candidates(
     questions: DataFrame, chunks: DataFrame, *, n_queries: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Search once, then :func:`arms_from`."""
-    vector, words = both_branches(questions, chunks, n_queries=n_queries)
+    vector, words = both_branches(questions, chunks, written_indexes(chunks), n_queries=n_queries)
     return arms_from(vector, words)
 
 

@@ -26,10 +26,10 @@ def test_heading_beats_text_and_ties_by_id(spark):
         spark,
         [("v1", "heading", "流程说明", ["透析"]), ("v1", "text", "透析流程说明", ["流程"])],
     )
-    hits = lexical.lexical_hits(ask(spark, "透析"), table, n_queries=1).orderBy("rank").collect()
+    hits = lexical.lexical_hits(ask(spark, "透析"), lexical.lexical_index(table), n_queries=1).orderBy("rank").collect()
     assert [h["chunk_id"] for h in hits] == ["heading", "text"]
     same = chunk_table(spark, [("v1", "c2", "透析", []), ("v2", "c1", "透析", []), ("v1", "c1", "透析", [])])
-    hits = lexical.lexical_hits(ask(spark, "透析"), same, n_queries=1).orderBy("rank").collect()
+    hits = lexical.lexical_hits(ask(spark, "透析"), lexical.lexical_index(same), n_queries=1).orderBy("rank").collect()
     assert [(h["version_id"], h["chunk_id"]) for h in hits] == [("v1", "c1"), ("v1", "c2"), ("v2", "c1")]
 
 
@@ -44,9 +44,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch, rounds):
     table = chunk_table(spark, [(f"v{i % 5}", f"c{i:03d}", t, ["w1"] if i % 9 == 0 else []) for i, t in enumerate(texts)])
     queries = [" ".join(rng.choice(words, 4)) for _ in range(17)]
     packed = segments.build_segments(
-        lexical.tokenised(table), {"text_tokens": 1.0, "heading_tokens": 2.0}, "log_tf", rows_per_segment=64
+        lexical.tokenised(table), {"text_tokens": 1.0, "heading_tokens": 2.0}, "log_tf", rows_per_segment=200
     )
-    found = lexical.lexical_hits(ask(spark, *queries), table, n_queries=len(queries), k=5, index=packed).collect()
+    found = lexical.lexical_hits(ask(spark, *queries), packed, n_queries=len(queries), k=5).collect()
     n, held = len(texts), [set(t.split()) | ({"w1"} if i % 9 == 0 else set()) for i, t in enumerate(texts)]
     for q, query in enumerate(queries):
         scores = []
@@ -69,7 +69,7 @@ def test_profiles_hide_chunks(spark):
     rows = [("v1", "a", "x y", [], [1]), ("v2", "b", "x", [], [0, 1]), ("v3", "c", "x", [], [0])]
     table = spark.createDataFrame(rows, CHUNK)
     asked = spark.createDataFrame([("q0", 0, ["x"]), ("q1", 1, ["x"])], "query_id string, profile int, queries array<string>")
-    got = {(r["query_id"], r["chunk_id"]) for r in lexical.lexical_hits(asked, table, n_queries=2).collect()}
+    got = {(r["query_id"], r["chunk_id"]) for r in lexical.lexical_hits(asked, lexical.lexical_index(table), n_queries=2).collect()}
     assert got == {("q0", "b"), ("q0", "c"), ("q1", "a"), ("q1", "b")}
 
 
