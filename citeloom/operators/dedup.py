@@ -1,61 +1,121 @@
 """Post-fusion deduplication and diversity limits."""
 
 import difflib
-from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from citeloom import fixed
 from citeloom.functions import text as tx
 from citeloom.operators.fusion import candidate_id
+from citeloom.session import shared_dir, write_table
+
+#: Characters between two looks at what is still in reach.
+_LOOK = 32
 
 
 def similar(left: str, right: str, *, autojunk: bool = True) -> bool:
     """Near-equal texts; the argument order is (candidate, kept)."""
-    return left == right or (
-        _may_match(left, right)
-        and difflib.SequenceMatcher(None, left, right, autojunk=autojunk).ratio() >= fixed.NEAR_DUPLICATE_RATIO
-    )
-
-
-def _may_match(left: str, right: str) -> bool:
-    """Whether enough pairs of neighbouring characters are in both.
-
-    With T characters in both texts, a ratio r leaves at most (1 - r) T of
-    them unmatched, and each gap between matching blocks costs one of those,
-    so that many neighbours stay together.
+    if left == right:
+        return True
+    need = ceil(fixed.NEAR_DUPLICATE_RATIO * (len(left) + len(right)) / 2 - 1e-6)
+    if longest_common(left, right, need) < need:
+        return False
+    return difflib.SequenceMatcher(None, left, right, autojunk=autojunk).ratio() >= fixed.NEAR_DUPLICATE_RATIO
+
+
+@lru_cache(64)
+def _places(text: str) -> dict[str, int]:
+    """For each character of a text, a number with the bits of its places set."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    found = np.unique(codes)
+    bits = np.packbits(codes == found[:, None], axis=1, bitorder="little")
+    return {chr(c): int.from_bytes(b.tobytes(), "little") for c, b in zip(found.tolist(), bits)}
+
+
+def longest_common(left: str, right: str, need: int = 0) -> int:
+    """Length of the longest common subsequence, all of ``left`` at once in the bits of one number.
+
+    The matching blocks of a ratio are such a subsequence, so the ratio is at
+    most twice this length over the length of both. Where ``need`` is out of
+    reach, -1: the part of such a subsequence that lies in the first ``i``
+    characters of ``right`` leaves few of them out, and as few of ``left``.
     """
-    total = len(left) + len(right)
-    shared = (Counter(zip(left, left[1:])) & Counter(zip(right, right[1:]))).total()
-    return shared >= total / 2 - 1.5 * (1 - fixed.NEAR_DUPLICATE_RATIO) * total - 1.001
-
-
-def _similar_texts(autojunk: bool):
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([similar(a, b, autojunk=autojunk) for a, b in zip(left, right)], dtype=bool)
-
-    return F.pandas_udf(run, BooleanType())
+    places, every, spare = _places(left), (1 << len(left)) - 1, len(left) - need
+    open_ = every
+    for i, character in enumerate(right, 1):
+        hit = open_ & places.get(character, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & every
+        if not i % _LOOK:
+            width = min(i + spare, len(left))
+            if width - (open_ & ((1 << width) - 1)).bit_count() < i - (len(right) - need):
+                return -1
+    return len(left) - open_.bit_count()
+
+
+def _near_rows(autojunk: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch["left"].to_pylist(), batch["right"].to_pylist())
+            near = pa.array([similar(a, b, autojunk=autojunk) for a, b in pairs], pa.bool_())
+            yield batch.select(["candidate", "kept"]).filter(near)
+
+    return run
+
+
+def near_keys(lists: DataFrame, *, autojunk: bool = True) -> DataFrame:
+    """(candidate, kept): digests of different keys that are near, of the pairs met in ``lists``.
+
+    ``lists``: query_id, rank, content_hash, key, digest. A pair is decided
+    once, in however many lists it stands. Lengths decide most of them here, and
+    the longest common subsequence most others before the ratio is worked out.
+    """
+    texts = lists.groupBy("digest").agg(F.min("key").alias("key"))
+    open_pairs = _pairs(lists).where("candidate <> kept").select("candidate", "kept").distinct()
+    met = open_pairs.join(texts.select(F.col("digest").alias("candidate"), F.col("key").alias("left")), "candidate")
+    met = met.join(texts.select(F.col("digest").alias("kept"), F.col("key").alias("right")), "kept")
+    # A pair is heavy work for its size: a fixed number of partitions keeps them over all cores. (A filter would be
+    # moved before the repartitioning.)
+    cores = lists.sparkSession.sparkContext.defaultParallelism
+    met = met.select("candidate", "kept", "left", "right").repartition(cores, "candidate", "kept")
+    return met.mapInArrow(_near_rows(autojunk), "candidate string, kept string")
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """(query_id, rank, with_rank, candidate, kept): every hit with the earlier ones of its list whose length allows it."""
+    narrow = lists.select("query_id", "rank", "content_hash", "digest", F.length("key").alias("size"))
+    ours, kept = narrow.alias("a"), narrow.alias("b")
+    shorter, total = F.least("a.size", "b.size"), F.col("a.size") + F.col("b.size")
+    pairs = ours.join(
+        kept,
+        F.expr("a.query_id = b.query_id AND b.rank < a.rank AND a.content_hash <> b.content_hash")
+        & (2 * shorter >= fixed.NEAR_DUPLICATE_RATIO * total - 1e-6),
+    )
+    return pairs.select(
+        "a.query_id", "a.rank", F.col("b.rank").alias("with_rank"), F.col("a.digest").alias("candidate"), F.col("b.digest").alias("kept")
+    )
 
 
 def near_pairs(hits: DataFrame, *, autojunk: bool = True) -> DataFrame:
     """(query_id, rank, near): for a hit, the earlier ranks of its question with a near text.
 
-    Pairs are those of one question's list (at most 40 hits). Equal hashes and
-    lengths that rule the ratio out never reach the comparison.
+    Pairs are those of one question's list (at most 40 hits), by digest of what
+    is compared; texts meet only in :func:`near_keys`.
     """
-    keyed = hits.select("query_id", "rank", "content_hash", tx.near_text_key(F.col("text")).alias("key"))
-    ours, kept = keyed.alias("a"), keyed.alias("b")
-    shorter, total = F.least(F.length("a.key"), F.length("b.key")), F.length("a.key") + F.length("b.key")
-    pairs = ours.join(
-        kept,
-        F.expr("a.query_id = b.query_id AND b.rank < a.rank AND a.content_hash <> b.content_hash")
-        & (2 * shorter >= fixed.NEAR_DUPLICATE_RATIO * total),
-    )
-    near = pairs.where(_similar_texts(autojunk)(F.col("a.key"), F.col("b.key")))
-    return near.groupBy("a.query_id", "a.rank").agg(F.collect_list("b.rank").alias("near"))
+    key = tx.near_text_key(F.col("text"))
+    lists = hits.select("query_id", "rank", "content_hash", key.alias("key")).withColumn("digest", F.sha2("key", 256))
+    spark = hits.sparkSession
+    lists = write_table(lists, shared_dir(spark, "near-lists"))
+    # A row a near pair: far fewer than hits, and read for every list.
+    decided = write_table(near_keys(lists, autojunk=autojunk), shared_dir(spark, "near-keys")).withColumn("decided", F.lit(True))
+    pairs = _pairs(lists).join(decided, ["candidate", "kept"], "left")
+    near = pairs.where((F.col("candidate") == F.col("kept")) | F.col("decided"))
+    return near.groupBy("query_id", "rank").agg(F.collect_list("with_rank").alias("near"))
 
 
 def _decided(held: Column, hit: Column, limit: int) -> Column:

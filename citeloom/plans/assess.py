@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import dedup, evidence, fusion
 from citeloom.plans.ask import both_branches, written_indexes
+from citeloom.session import shared_dir, write_table
 
 
 def arm_candidates(
@@ -32,10 +33,14 @@ def arms_from(vector: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame
     for arm, hits in lists.items():
         rows = hits.select(*columns).withColumn("query_id", F.concat_ws("|", "query_id", F.lit(arm)))
         combined = rows if combined is None else combined.unionByName(rows)
+    # Lists and decisions are small and read several times.
+    spark = vector.sparkSession
+    combined = write_table(combined, shared_dir(spark, "arm-lists"))
     audited = F.col("query_id").endswith("|hybrid_audit")
     decisions = dedup.deduplicate(combined.where(~audited)).unionByName(
         dedup.without_dedup(combined.where(audited))
     )
+    decisions = write_table(decisions, shared_dir(spark, "arm-decisions"))
     kept = dedup.retained(combined, decisions)
     drops = dedup.drop_facts(decisions).unionByName(
         fusion.fusion_drops(vector, words, facts).withColumn(
