@@ -47,7 +47,9 @@ def near_views(prefix: str, lists: str, same: str, *needs: str) -> dict[str, tup
     equals, then left and right of it; in a text of 200 characters or more a
     character that makes over 1 % of it cannot start a block, only extend one;
     where nothing can start one, what both begin with is the block.
-    Pairs that lengths or shared neighbouring characters rule out come first.
+    Pairs that lengths, shared neighbouring characters or the edit distance rule
+    out come first (what blocks leave out is an edit each; the distance is one of
+    bytes, so letters beyond ASCII are made one of its characters).
     """
     p = prefix
     return {
@@ -69,7 +71,8 @@ def near_views(prefix: str, lists: str, same: str, *needs: str) -> dict[str, tup
             f"""WITH m AS (SELECT lh, rh, a.key AS a, b.key AS b, length(a.key) + length(b.key) AS total FROM {p}_met JOIN {p}_keys a ON a.content_hash = lh JOIN {p}_keys b ON b.content_hash = rh
       WHERE 2 * least(length(a.key), length(b.key)) >= 0.85 * (length(a.key) + length(b.key))),
     s AS (SELECT lh, rh, sum(least(x.n, y.n)) AS shared FROM m JOIN {p}_grams x ON x.content_hash = lh JOIN {p}_grams y ON y.content_hash = rh AND y.g = x.g GROUP BY ALL)
-  SELECT lh, rh, a, b, string_split(a, '') AS la, string_split(b, '') AS lb FROM m LEFT JOIN s USING (lh, rh) WHERE a <> b AND coalesce(shared, 0) >= total / 2 - 0.225 * total - 1.001""",
+  SELECT lh, rh, a, b, string_split(a, '') AS la, string_split(b, '') AS lb FROM m LEFT JOIN s USING (lh, rh) WHERE a <> b AND coalesce(shared, 0) >= total / 2 - 0.225 * total - 1.001
+    AND levenshtein(regexp_replace(a, '[^\\x00-\\x7F]', '~', 'g'), regexp_replace(b, '[^\\x00-\\x7F]', '~', 'g')) <= 0.15 * total + 0.001""",
         ),
         f"{p}_cells": (
             (f"{p}_likely",),
