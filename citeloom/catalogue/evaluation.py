@@ -1,5 +1,8 @@
 """Evaluation queries: metrics, reports, arms, sets, contracts."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom import fixed
@@ -472,20 +475,41 @@ def _(spark, folder):
     return tidy(arms.root_causes(arms.case_signals(arm_facts(spark, folder), judged_drops(spark, folder))))
 
 
+_CHECKSUM = "sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 8))::BIGINT)::HUGEINT || ':' || sum(('0x' || substr(h, 9, 8))::BIGINT)::HUGEINT)"
+
+
 @query(
     "jn17_run_identity",
     sql(
-        """
-  WITH c AS (SELECT sha256(case_id || chr(10) || question) AS h FROM cases), k AS (SELECT sha256(version_id || chr(10) || chunk_id || chr(10) || content_hash) AS h FROM active_chunks)
-  SELECT count(*) AS case_count, sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 8))::BIGINT)::HUGEINT || ':' || sum(('0x' || substr(h, 9, 8))::BIGINT)::HUGEINT) AS set_checksum,
-         (SELECT sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 8))::BIGINT)::HUGEINT || ':' || sum(('0x' || substr(h, 9, 8))::BIGINT)::HUGEINT) FROM k) AS snapshot_hash, count(*) = 80 AS matches FROM c""",
+        f"""
+  WITH c AS (SELECT case_id, sha256(case_id || chr(10) || question) AS h FROM cases),
+       k AS (SELECT sha256(version_id || chr(10) || chunk_id || chr(10) || content_hash) AS h FROM active_chunks),
+       d AS (SELECT h FROM c WHERE case_id NOT IN (SELECT 'q' || item_id FROM benchmark WHERE item_id % 7 = 0)),
+       o AS (SELECT 'benchmark' AS set_id, (SELECT count(*) FROM c) AS case_count, (SELECT {_CHECKSUM} FROM c) AS set_checksum, (SELECT {_CHECKSUM} FROM k) AS snapshot_hash),
+       f AS (SELECT 'unchanged' AS run, * FROM o UNION ALL SELECT 'other set', 'holdout', case_count, set_checksum, snapshot_hash FROM o
+             UNION ALL SELECT 'fewer cases', set_id, (SELECT count(*) FROM d), (SELECT {_CHECKSUM} FROM d), snapshot_hash FROM o
+             UNION ALL SELECT 'no chunks', set_id, case_count, set_checksum, sha256('0') FROM o)
+  SELECT f.run, o.*, concat_ws(',', CASE WHEN f.set_id <> o.set_id THEN 'set_id' END, CASE WHEN f.case_count <> o.case_count THEN 'case_count' END,
+         CASE WHEN f.set_checksum <> o.set_checksum THEN 'set_checksum' END, CASE WHEN f.snapshot_hash <> o.snapshot_hash THEN 'snapshot_hash' END) AS mismatches,
+         f = row(f.run, o.set_id, o.case_count, o.set_checksum, o.snapshot_hash) AS matches FROM f, o""",
         "cases",
         "active_chunks",
     ),
 )
 def _(spark, folder):
-    actual = arms.run_identity(cases(spark, folder), t.active_chunks(spark, folder))
-    return tidy(arms.identity_matches(actual, {"case_count": 80}))
+    """The run against fingerprints frozen from the same inputs, another set, fewer cases and no chunks."""
+    asked, chunks = cases(spark, folder), t.active_chunks(spark, folder)
+    left_out = t.load(spark, folder, "benchmark").where("item_id % 7 = 0").select(F.concat(F.lit("q"), "item_id").alias("case_id"))
+    fewer = asked.join(left_out, "case_id", "left_anti")
+    actual = shared.kept(arms.run_identity(asked, chunks, "benchmark"), "run-identity")
+    frozen = {
+        "unchanged": actual,
+        "other set": actual.withColumn("set_id", F.lit("holdout")),
+        "fewer cases": arms.run_identity(fewer, chunks, "benchmark"),
+        "no chunks": actual.withColumn("snapshot_hash", F.sha2(F.lit("0"), 256)),
+    }
+    rows = [df.withColumn("run", F.lit(run)) for run, df in frozen.items()]
+    return tidy(arms.identity_matches(actual, reduce(DataFrame.unionByName, rows)))
 
 
 # --- evaluation sets -------------------------------------------------------------------------

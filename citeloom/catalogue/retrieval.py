@@ -423,18 +423,41 @@ _GOVERNED |= {n: body for n, (_, body) in near_views("g", "gh", "x.query_id = y.
 _GOVERNED["gk"] = greedy_fold("gk", "gh", "g_near", "query_id", "true")
 
 
-@query(
-    "jn5_governed_candidates",
-    sql(
+#: The lexical branch asks the cleaned question, its normalised form and that with its aliases replaced.
+_VARIANTS = r"""
+  WITH n AS (SELECT query_id, question AS q, regexp_replace(trim(regexp_replace(question, '\s+', ' ', 'g')), '\s+([,.;:!?，。！？；：、）》】』」’”])', '\1', 'g') AS n FROM questions),
+       v AS (SELECT query_id, unnest([q, n, ALIASED]) AS q FROM n)
+  SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS token FROM v"""
+
+
+def _aliased(column: str) -> str:
+    """Aliases replaced in turn; twice, since RE2 can't look around and so takes the space between two of them."""
+    for alias, canonical in fixed.QUERY_ALIASES:
+        if alias.isascii():
+            for _ in range(2):
+                column = rf"regexp_replace({column}, '(^|[^A-Za-z0-9]){alias}([^A-Za-z0-9]|$)', '\1{canonical}\2', 'gi')"
+        else:
+            column = f"replace({column}, '{alias}', '{canonical}')"
+    return column
+
+
+_NORMALISED = {"variant_tokens": _VARIANTS.replace("ALIASED", _aliased("n"))}
+_NORMALISED |= {name: body.replace("question_tokens", "variant_tokens") for name, body in _GOVERNED.items()}
+
+
+def _candidates(extra: dict[str, str]) -> str:
+    return sql(
         "SELECT query_id, version_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM gk JOIN gh USING (query_id, version_id, chunk_id, rank) WHERE reason IS NULL",
         "requests",
         "metadata",
         "postings",
         "question_tokens",
         "hash_scores",
-        extra=_GOVERNED,
-    ),
-)
+        extra=extra,
+    )
+
+
+@query("jn5_governed_candidates", _candidates(_GOVERNED))
 def _(spark, folder):
     """Hybrid candidates of each request from the versions it may see."""
     rows = ask.retrieve(
@@ -448,7 +471,7 @@ def _(spark, folder):
     return tidy(rows, "query_id", "version_id", "chunk_id", "score", "rank")
 
 
-@query("jn5_normalised_strategy")
+@query("jn5_normalised_strategy", _candidates(_NORMALISED))
 def _(spark, folder):
     rows = ask.retrieve(
         t.requests(spark, folder),

@@ -39,20 +39,20 @@ def forget() -> None:
 
 def hash_index(spark, folder) -> DataFrame:
     make = vectors.hash_index
-    return _once(spark, folder, "hash-index", lambda: _kept(make(t.active_chunks(spark, folder)), "hash-index"))
+    return _once(spark, folder, "hash-index", lambda: kept(make(t.active_chunks(spark, folder)), "hash-index"))
 
 
 def lexical_index(spark, folder) -> DataFrame:
     make = lexical.lexical_index
-    return _once(spark, folder, "lexical-index", lambda: _kept(make(t.active_chunks(spark, folder)), "lexical-index"))
+    return _once(spark, folder, "lexical-index", lambda: kept(make(t.active_chunks(spark, folder)), "lexical-index"))
 
 
 def diagnostic_index(spark, folder) -> DataFrame:
     make = lexical.diagnostic_index
-    return _once(spark, folder, "diagnostic-index", lambda: _kept(make(t.active_chunks(spark, folder)), "diagnostic-index"))
+    return _once(spark, folder, "diagnostic-index", lambda: kept(make(t.active_chunks(spark, folder)), "diagnostic-index"))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, shared_dir(df.sparkSession, name))
 
 
@@ -65,7 +65,7 @@ def expected(spark, folder) -> DataFrame:
 
     def make():
         rows = t.expected_sources(spark, folder)
-        return _kept(rows.selectExpr("query_id AS case_id", "version_id AS source_id"), "expected")
+        return kept(rows.selectExpr("query_id AS case_id", "version_id AS source_id"), "expected")
 
     return _once(spark, folder, "expected", make)
 
@@ -91,11 +91,10 @@ def selected(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     def make():
         vector, words = branches(spark, folder)
         combined = fusion.choose_strategy("hybrid", vector, words)
-        kept = dedup.retained(combined, dedup.deduplicate(combined))
-        candidates = _kept(kept, "candidates")
+        candidates = kept(dedup.retained(combined, dedup.deduplicate(combined)), "candidates")
         reranked, shown = ask.evidence_table(candidates, t.questions(spark, folder))
-        reranked = _kept(reranked, "reranked")
-        return candidates, reranked, _kept(ask.gate(reranked), "evidence")
+        reranked = kept(reranked, "reranked")
+        return candidates, reranked, kept(ask.gate(reranked), "evidence")
 
     return _once(spark, folder, "selected", make)
 
@@ -106,8 +105,8 @@ def arms(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     def make():
         questions = t.questions(spark, folder)
         candidates, drops, facts = assess.arms_from(*branches(spark, folder))
-        candidates = _kept(candidates, "arm-candidates")
-        evidence = _kept(assess.arm_evidence(candidates, questions), "arm-evidence")
-        return candidates, evidence, _kept(drops, "arm-drops"), facts
+        candidates = kept(candidates, "arm-candidates")
+        evidence = kept(assess.arm_evidence(candidates, questions), "arm-evidence")
+        return candidates, evidence, kept(drops, "arm-drops"), facts
 
     return _once(spark, folder, "arms", make)

@@ -213,8 +213,11 @@ def root_causes(signals: DataFrame) -> DataFrame:
     )
 
 
-def run_identity(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Fingerprint of the inputs of a run: case count, set checksum, snapshot hash.
+IDENTITY = ("set_id", "case_count", "set_checksum", "snapshot_hash")
+
+
+def run_identity(cases: DataFrame, chunks: DataFrame, set_id: str) -> DataFrame:
+    """Fingerprint of the inputs of a run, one row: set id, case count, set checksum, snapshot hash.
 
     Row hashes are summed as numbers in two halves, so the fingerprint needs
     no ordering and no list of all ids.
@@ -226,14 +229,21 @@ def run_identity(cases: DataFrame, chunks: DataFrame) -> DataFrame:
         return F.sha2(joined, 256)
 
     snapshot = chunks.agg(checksum(F.concat_ws("\n", "version_id", "chunk_id", "content_hash"))).scalar()
-    return cases.agg(
+    counted = cases.agg(
         F.count("*").alias("case_count"), checksum(F.concat_ws("\n", "case_id", "question")).alias("set_checksum")
-    ).withColumn("snapshot_hash", snapshot)
+    )
+    return counted.select(F.lit(set_id).alias("set_id"), "case_count", "set_checksum", snapshot.alias("snapshot_hash"))
 
 
-def identity_matches(actual: DataFrame, frozen: dict) -> DataFrame:
-    """The fingerprint with a verdict against the frozen values."""
-    same = F.lit(True)
-    for name, value in frozen.items():
-        same = same & F.col(name).eqNullSafe(F.lit(value))
-    return actual.withColumn("matches", same)
+def identity_matches(actual: DataFrame, frozen: DataFrame) -> DataFrame:
+    """The run's fingerprint against each frozen one (run, and the columns of IDENTITY).
+
+    Every one of the four values has to agree; ``mismatches`` names those that don't.
+    """
+    wrong = [
+        F.when(~F.col(name).eqNullSafe(F.col(f"frozen_{name}")), F.lit(name)) for name in IDENTITY
+    ]
+    # One row on the left.
+    met = frozen.select("run", *[F.col(n).alias(f"frozen_{n}") for n in IDENTITY]).crossJoin(F.broadcast(actual))
+    found = F.filter(F.array(*wrong), lambda name: name.isNotNull())
+    return met.select("run", *IDENTITY, F.array_join(found, ",").alias("mismatches"), (F.size(found) == 0).alias("matches"))

@@ -313,7 +313,10 @@ class _SparseBlock:
         reach += 1e-7
         usable = {p: segment.admitted(p) for p in np.unique(self.profile)}
         out = []
-        first = reach >= np.partition(reach, n_runs - min(FIRST_RUNS, n_runs), axis=1)[:, [n_runs - min(FIRST_RUNS, n_runs)]]
+        # So many runs and no more: most may be tied.
+        some = min(FIRST_RUNS, n_runs)
+        first = np.zeros(reach.shape, bool)
+        np.put_along_axis(first, np.argpartition(-reach, some - 1, axis=1)[:, :some], True, axis=1)
         done = np.zeros_like(first)
         for chosen in (first, None):
             if chosen is None:

@@ -181,3 +181,67 @@ def test_wrong_embedding_count_fails(spark):
     texts = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string").coalesce(1)
     with pytest.raises(Exception, match="embedding count"):
         vectors.embed(texts, "id", embedders.short).collect()
+
+
+def test_longest_common_subsequence_rules_out_only_what_the_ratio_does():
+    draw = np.random.default_rng(11)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(row[j] + 1 if x == y else max(row[j + 1], now[j]))
+            row = now
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ("".join(draw.choice(list("abcé😀"), draw.integers(0, 40))) for _ in range(2))
+        assert dedup.longest_common(a, b) == plain(a, b)
+    for _ in range(400):
+        a = "".join(draw.choice(list("abcd"), draw.integers(80, 260)))
+        b = list(a)
+        for at in draw.integers(0, len(b), draw.integers(0, len(b) // 3)):
+            b[at] = str(draw.choice(list("abcd")))
+        b = "".join(b)[draw.integers(0, 20) :]
+        assert dedup.similar(a, b) == (difflib.SequenceMatcher(None, a, b).ratio() >= 0.85)
+
+
+def test_bounds_leave_runs_unread():
+    """A question whose best chunks lie in one run reads that run and few others."""
+    import pyarrow as pa
+
+    texts = [["rare"] * 3 + ["common"] if 128 <= i < 192 else ["common"] for i in range(640)]
+    lists = pa.array(texts, pa.list_(pa.string()))
+    columns = segments._inverted([lists], [1.0], "log_tf")
+    columns |= {"v": pa.array(["v"] * 640), "c": pa.array([f"c{i:03d}" for i in range(640)]), "p": pa.array([[0]] * 640)}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns.values()], list(columns)
+    )
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    segment = segments._Segment(sink.getvalue().to_pybytes())
+    read = []
+    postings = segment.postings
+    segment.postings = lambda runs: read.append(len(runs)) or postings(runs)
+    entries = pa.array([{"query_id": "q", "profile": 0, "f": f, "w": w} for f, w in (("rare", 5.0), ("common", 1.0))])
+    block = segments._SparseBlock(entries, 20)
+    found = block.found(segment)
+    assert {int(i) for _, at, _ in found for i in at if i in range(128, 148)} == set(range(128, 148))
+    # Eleven runs of postings in all; those without the rare word can't reach the twentieth score.
+    assert sum(read) <= 4
+
+
+def test_identity_names_every_value_that_differs(spark):
+    from citeloom.operators import arms
+
+    kind = "set_id string, case_count long, set_checksum string, snapshot_hash string"
+    actual = spark.createDataFrame([("a", 3, "x", "y")], kind)
+    frozen = spark.createDataFrame(
+        [("same", "a", 3, "x", "y"), ("set", "b", 3, "x", "y"), ("all", "b", 4, "z", "w"), ("unset", "a", 3, "x", None)], f"run string, {kind}"
+    )
+    rows = {r.run: (r.mismatches, r.matches) for r in arms.identity_matches(actual, frozen).collect()}
+    assert rows == {
+        "same": ("", True), "set": ("set_id", False), "all": ("set_id,case_count,set_checksum,snapshot_hash", False), "unset": ("snapshot_hash", False),
+    }
