@@ -28,6 +28,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.llm import spans as places
 from citeloom.llm.registry import query, table
 from citeloom.llm.written import written
 
@@ -35,7 +36,8 @@ KINDS = ("email", "ip", "card", "phone", "secret", "number")
 LOCAL = "A-Za-z0-9._%+-"
 #: Possessive quantifiers: nothing that follows could use what they give back, and they need no stack.
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+#: A run of digits is entered at its start only; from within it no more would be found.
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SECRET_WORDS = "password|passwd|pwd|secret|token|key|apikey|credential|credentials|passwort|contraseña|clave|mot de passe"
@@ -63,33 +65,17 @@ NEAR = 40
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, body, before>> of all matches, from left to right."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    # Ends of the gaps and matches so far: start of match k is the end of gap k.
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("body"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(held: Column, pair: Column) -> Column:
-        start = held["at"] + F.length(pair["gap"])
-        return F.struct(
-            (start + F.coalesce(F.length(pair["body"]), F.lit(0))).alias("at"),
-            F.concat(held["starts"], F.array(start)).alias("starts"),
+    """array<struct<start, end, body, before>> of all matches, from left to right; ``before`` is of the same gap."""
+    found = places.matches(text, pattern)
+
+    def with_before(all_found: Column) -> Column:
+        return F.zip_with(
+            all_found,
+            F.slice(F.split(text, pattern, -1), 1, F.size(all_found)),
+            lambda x, gap: F.struct(x["start"], x["end"], x["body"], F.right(gap, F.lit(NEAR)).alias("before")),
         )
 
-    starts = F.aggregate(pairs, first, step, lambda held: held["starts"])
-    spans = F.transform(
-        F.filter(F.arrays_zip(starts.alias("start"), pairs.alias("pair")), lambda x: x["pair"]["body"].isNotNull()),
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            (x["start"] + F.length(x["pair"]["body"])).alias("end"),
-            x["pair"]["body"].alias("body"),
-            F.right(x["pair"]["gap"], F.lit(NEAR)).alias("before"),
-        ),
-    )
-    return F.when(F.size(found) > 0, spans).otherwise(
-        F.array().cast("array<struct<start:int,end:int,body:string,before:string>>")
-    )
+    return places.let(found, with_before)
 
 
 def only_digits(body: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from brute import documents
 from citeloom.llm import pii
@@ -114,3 +115,12 @@ def test_long_keys_without_a_name_are_proposed(spark):
     base = pii.F.array().cast("array<struct<start:int,place:int,end:int>>")
     for r in texts.select("text", pii.proposals(pii.F.col("text"), base).alias("p")).collect():
         assert [r.text[x.start : x.end] for x in r.p] == [r.text.split()[1]]
+
+
+def test_texts_of_a_megabyte_take_time_in_proportion(spark):
+    rows = [(0, "1" * 1_000_000 + " 1.2"), (1, "12 a " * 200_000), (2, "1.2.3.4 " * 120_000), (3, "7 " * 500_000)]
+    started = time.time()
+    found = {r.doc_id: r.base for r in pii.personal_spans(documents(spark, rows)).collect()}
+    assert time.time() - started < 60
+    assert [len(found[k]) for k in range(4)] == [0, 0, 120_000, 0]
+    assert tuple(found[2][-1]) == (8 * 119_999, 1, 8 * 119_999 + 7)
