@@ -42,8 +42,13 @@ def main() -> None:
     spark.conf.set("spark.sql.shuffle.partitions", cpus)
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
+    # Indexes hold nothing of the questions and are kept; what they cost is a line of its own.
+    for name, build in (("build_lexical_index", shared.lexical_index), ("build_hash_index", shared.hash_index)):
+        started = time.perf_counter()
+        build(spark, folder)
+        seconds[name] = round(time.perf_counter() - started, 3)
     for name in HEADLINE:
-        # Every query pays for its own search; nothing is carried over.
+        # Every query pays for its own search; only the indexes are carried over.
         shared.forget()
         started = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
