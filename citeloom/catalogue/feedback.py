@@ -57,13 +57,45 @@ _NEED = ("stored_messages", "clicks")
 # --- redaction -----------------------------------------------------------------------
 
 
-@query("fn15_redacted_documents")
+def redacted_sql(text: str) -> str:
+    """Stops, and the rules for mail, web and number; those for names and labels would show as a difference."""
+    clean = rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    mail = rf"regexp_replace({clean}, '[^\s@]+@[^\s@]+\.[A-Za-z]{{2,}}($|[^\p{{L}}\p{{N}}_.-])', '[email]\1', 'g')"
+    web = rf"regexp_replace({mail}, 'https?://[^\s]+', '[contact]', 'gi')"
+    phone = rf"regexp_replace({web}, '(^|[^0-9])1[3-9][0-9]{{9}}($|[^0-9])', '\1[phone]\2', 'g')"
+    number = rf"regexp_replace({phone}, '(^|[^0-9])([0-9]{{17}}[0-9Xx]|[0-9]{{15}})($|[^0-9])', '\1[id_number]\3', 'g')"
+    file = rf"regexp_matches({clean}, '(?i)\[附件|data:(image|application)/|(^|\s)[^\s]+\.(jpg|jpeg|png|gif|pdf|docx?)($|[^\p{{L}}\p{{N}}_])')"
+    why = f"CASE WHEN {text} IS NULL THEN 'invalid_input' WHEN {clean} = '' THEN 'empty_text' WHEN {file} THEN 'attachment' END"
+    return f"""{{'why': {why}, 'shown': {number}, 'met': list_filter(['email', 'contact', 'phone', 'id_number'],
+      lambda k: contains({number}, '[' || k || ']') AND NOT contains({text}, '[' || k || ']'))}}"""
+
+
+def shown_sql(r: str) -> tuple[str, str]:
+    """Status and text of what :func:`redacted_sql` found."""
+    status = f"CASE WHEN {r}.why = 'empty_text' THEN 'review_required' WHEN {r}.why IS NOT NULL THEN 'blocked' ELSE 'passed' END"
+    shown = f"CASE WHEN {r}.why = 'empty_text' THEN '{fixed.EMPTY_TEXT}' WHEN {r}.why IS NOT NULL THEN '{fixed.BLOCKED_TEXT}' ELSE {r}.shown END"
+    return status, shown
+
+
+@query(
+    "fn15_redacted_documents",
+    f"""WITH d AS (SELECT doc_id, {redacted_sql("text")} AS r FROM documents)
+  SELECT doc_id, {shown_sql("r")[0]} AS status, {shown_sql("r")[1]} AS text, CASE WHEN r.why IS NOT NULL THEN r.why ELSE array_to_string(r.met, '|') END AS flags FROM d""",
+)
 def _(spark, folder):
     docs = spread(t.load(spark, folder, "documents")).withColumn("r", rd.redact_text(F.col("text")))
     return tidy(docs.select("doc_id", "r.status", "r.text", "r.flags"))
 
 
-@query("fn15_redacted_pairs")
+@query(
+    "fn15_redacted_pairs",
+    f"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS line, text FROM documents),
+  e AS (SELECT doc_id, {redacted_sql("line")} AS q, {redacted_sql("text")} AS a FROM d)
+  SELECT doc_id, {shown_sql("q")[0]} AS question_status, {shown_sql("q")[1]} AS question_text, {shown_sql("a")[0]} AS answer_status, {shown_sql("a")[1]} AS answer_text,
+    array_to_string(list_concat(
+      CASE WHEN q.why IS NOT NULL THEN [q.why] ELSE q.met END,
+      list_filter(CASE WHEN a.why IS NOT NULL THEN [a.why] ELSE a.met END, lambda f: NOT list_contains(CASE WHEN q.why IS NOT NULL THEN [q.why] ELSE q.met END, f))), '|') AS flags FROM e""",
+)
 def _(spark, folder):
     """Each document's first line as the question and its text as the answer."""
     docs = spread(t.load(spark, folder, "documents")).withColumn(

@@ -1,5 +1,7 @@
 """Safety columns: masking, safe-text predicates, citation rules."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,12 +18,17 @@ def mask_secrets(text: Column) -> Column:
     return F.regexp_replace(masked, fixed.ABSOLUTE_PATH, "[path redacted]")
 
 
+def holds_credential(text: Column) -> Column:
+    """A token, a bearer value or a key assignment."""
+    return reduce(lambda found, pattern: found | text.rlike(pattern), fixed.CREDENTIALS, F.lit(False))
+
+
 def is_safe_text(text: Column) -> Column:
     """No control characters, absolute paths, secrets or provider stack words."""
     return F.coalesce(
         ~text.rlike(fixed.DANGEROUS_CONTROL)
         & ~text.rlike(fixed.ABSOLUTE_PATH)
-        & ~text.rlike(fixed.SECRET_VALUE)
+        & ~holds_credential(text)
         & ~text.rlike(fixed.PROVIDER_STACK),
         F.lit(False),
     )
@@ -30,7 +37,7 @@ def is_safe_text(text: Column) -> Column:
 def is_safe_label(text: Column) -> Column:
     """The stricter rule for file names and headings: no line breaks either."""
     return (
-        ~text.rlike(fixed.ANY_CONTROL) & ~text.rlike(fixed.ABSOLUTE_PATH) & ~text.rlike(fixed.SECRET_VALUE)
+        ~text.rlike(fixed.ANY_CONTROL) & ~text.rlike(fixed.ABSOLUTE_PATH) & ~holds_credential(text)
     )
 
 
@@ -67,7 +74,7 @@ def safe_excerpt(text: Column, *, redact_paths: bool, limit: int | None = fixed.
     """Line breaks and tabs to one space, trimmed and cut; NULL when unsafe."""
     flat = tx.strip(F.regexp_replace(text, r"[\r\n\t]+", " "))
     shown = F.regexp_replace(flat, fixed.ABSOLUTE_PATH, "[path redacted]") if redact_paths else flat
-    unsafe = text.rlike(fixed.DANGEROUS_CONTROL) | (F.length(flat) == 0) | flat.rlike(fixed.SECRET_VALUE)
+    unsafe = text.rlike(fixed.DANGEROUS_CONTROL) | (F.length(flat) == 0) | holds_credential(flat)
     if not redact_paths:
         unsafe = unsafe | flat.rlike(fixed.ABSOLUTE_PATH)
     return F.when(~unsafe, F.substring(shown, 1, limit) if limit else shown)

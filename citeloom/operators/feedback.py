@@ -46,7 +46,9 @@ def project_cases(messages: DataFrame, feedback: DataFrame, now: Column) -> tupl
         case_identity(F.col("message_id"), F.col("session_id"))
     )
     question = F.when(tx.is_blank(F.col("question")), fixed.MISSING_QUESTION).otherwise(F.col("question"))
-    redacted = joined.withColumn("redacted", rd.redact_interaction(question, F.col("content")))
+    # A generator of one row: what follows can't be merged into it, so a pair is redacted once.
+    once = F.explode(F.array(rd.redact_interaction(question, F.col("content"))))
+    redacted = joined.select("*", once.alias("redacted"))
     has_event = F.col("feedback").isNotNull()
     cases = redacted.select(
         "case_id",

@@ -89,6 +89,39 @@ def test_redaction_shares_placeholders(spark):
     assert again["answer_text"] == "患者[患者-1]应休息,患者如何"
 
 
+def test_redaction_numbers_names_over_both_texts(spark):
+    pair = rd.redact_interaction(F.col("q"), F.col("a"))
+    row = one(spark, pair, q="药师姓名：王芳应复核。患者患者张三 如何", a="药师李四与患者王五 和患者王芳")
+    # A stop word keeps its match whole, so the name behind it is not met; 王芳 keeps the first stand-in.
+    assert row["question_text"] == "[人员-1]应复核。患者患者张三 如何"
+    assert row["answer_text"] == "药师[人员-2]与患者[患者-1] 和患者[人员-1]"
+    assert row["flags"] == ["staff_name", "patient_name"]
+
+
+def test_redaction_values_keep_the_stand_in_of_the_rule_that_met_them_first(spark):
+    pair = rd.redact_interaction(F.col("q"), F.col("a"))
+    row = one(spark, pair, q="住址：U@B.com", a="mail u@b.com or v@b.com, 13812345678")
+    assert row["question_text"] == "[address]" and row["answer_text"] == "mail [address] or [email], [phone]"
+    assert row["flags"] == ["address", "email", "phone"]
+
+
+def test_redaction_reports_a_stopped_text_alone(spark):
+    pair = rd.redact_interaction(F.col("q"), F.col("a"))
+    row = one(spark, pair, q="[附件1] 患者张三", a="患者李四 2020-01-02")
+    assert row["question_status"] == "blocked" and row["answer_text"] == "患者[患者-1] [date]"
+    assert row["flags"] == ["attachment", "patient_name", "date"]
+    nothing = spark.createDataFrame([(None, "")], "q string, a string").select(pair.alias("r")).first()["r"]
+    assert (nothing["question_status"], nothing["answer_status"]) == ("blocked", "review_required")
+    assert nothing["flags"] == ["invalid_input", "empty_text"]
+
+
+def test_redaction_keeps_to_columns(spark):
+    plan = spark.range(1).select(rd.redact_text(F.concat(F.lit("患者张三"), F.col("id").cast("string"))).alias("r"))
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    # The only Python left is NFKC of unusual characters.
+    assert "_redact" not in shown and shown.count("ArrowEvalPython") <= 1
+
+
 def test_redaction_stops(spark):
     status = lambda v: text(spark, v, lambda c: rd.redact_text(c)["status"])
     assert status("[附件1] 请看") == "blocked"
