@@ -1,14 +1,16 @@
 """Byte-level BPE: texts to packed token ids and back.
 
 A text is cut at single spaces between two non-space characters, where no match
-of the pattern can reach across, and each piece is looked up in a bounded memo;
-only pieces not met before are matched against the pattern and encoded.
+of the pattern can reach across. Matches of the pattern are kept in a bounded memo
+of two generations, which frequent ones outlive; only pieces that are no match of
+it are split by the pattern, and only matches not met before are encoded.
 
 A match is encoded without replaying merges. Bytes become Latin-1 characters so
 that one Aho-Corasick pass finds every token at every place. From the left the
 longest token is tried, then shorter ones; a token may follow another only if
 merging would have left the boundary between them, which depends on the two
-tokens alone and is memoised. A place from which no ending was found is not
+tokens alone and is memoised. The first try, the longest token at every place, is
+right for most matches, and no other chain of fitting tokens exists then. A place from which no ending was found is not
 tried again, so the work is linear in the match.
 
 Defined cases: a null text gives no ids; white space, control characters and
@@ -37,8 +39,8 @@ from citeloom.llm.texts import slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 NEVER = 1 << 60
-#: Most entries of the memos of a worker.
-MEMO, FITS, LONGEST_WORD = 150_000, 400_000, 64
+#: Most entries of the memos of a worker, matches (both generations) and pairs of tokens, and the longest match kept.
+MEMO, FITS, LONGEST_WORD = 300_000, 400_000, 64
 #: Matches that need no look at the pattern: Latin letters only, with a space before them or not.
 PLAIN_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
@@ -47,6 +49,13 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _adjoined(text: str) -> bool:
+    """A single space is at an end of the text or beside other white space."""
+    if text[:1] == " " or text[-1:] == " ":
+        return True
+    return any(" " + c in text or c + " " in text for c in set(text) if c.isspace())
+
+
 class Vocabulary:
     """Tokens of a rank file, with what encoding by longest match needs."""
 
@@ -60,7 +69,8 @@ class Vocabulary:
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._shorter: dict[int, int | None] = {}
         self._fits: dict[int, bool] = {}
-        self._words: dict[str, bytes] = {}
+        self._recent: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
@@ -118,9 +128,34 @@ class Vocabulary:
         whole = self.ranks.get(body)
         if whole is not None:
             return [whole]
-        size, lengths, fits = len(body), self.lengths, self._fits
+        characters = body.decode("latin-1")
+        size, lengths, fits = len(characters), self.lengths, self._fits
+        chain, at = [], 0
+        for end, token in self.automaton.iter_long(characters):
+            if end + 1 - lengths[token] != at:
+                break
+            if chain:
+                fit = fits.get(chain[-1] << 32 | token)
+                if fit is False or fit is None and not self._may_follow(chain[-1], token):
+                    break
+            chain.append(token)
+            at = end + 1
+        return chain if at == size else self._backtracked(characters)
+
+    def _may_follow(self, left: int, right: int) -> bool:
+        """:meth:`fits`, remembered."""
+        fit = self._fits.get(left << 32 | right)
+        if fit is None:
+            if len(self._fits) > FITS:
+                self._fits.clear()
+            fit = self._fits[left << 32 | right] = self.fits(left, right)
+        return fit
+
+    def _backtracked(self, characters: str) -> list[int]:
+        """The chain of fitting tokens, found from the longest token at every place."""
+        size, lengths, fits, shorter = len(characters), self.lengths, self._fits, self._shorter
         longest = [0] * size
-        for end, rank in self.automaton.iter(body.decode("latin-1")):
+        for end, rank in self.automaton.iter(characters):
             longest[end - lengths[rank] + 1] = rank  # longer ones come later
         chain: list[int] = []
         dead: set[int] = set()
@@ -128,21 +163,14 @@ class Vocabulary:
         while True:
             end = at + lengths[token]
             if end not in dead:
-                if last < 0:
-                    fit = True
-                else:
-                    fit = fits.get(last << 32 | token)
-                    if fit is None:
-                        if len(fits) > FITS:
-                            fits.clear()
-                        fit = fits[last << 32 | token] = self.fits(last, token)
-                if fit:
+                fit = last < 0 or fits.get(last << 32 | token)
+                if fit or fit is None and self._may_follow(last, token):
                     chain.append(token)
                     if end == size:
                         return chain
                     at, last, token = end, token, longest[end]
                     continue
-            token = self.shorter(token)
+            token = shorter[token] if token in shorter else self.shorter(token)
             while token is None:
                 # Chains of fitting tokens are unique, so this place fails for good.
                 dead.add(at)
@@ -151,30 +179,32 @@ class Vocabulary:
                 last = chain[-1] if chain else -1
                 token = self.shorter(taken)
 
+    def _match(self, match: str) -> bytes:
+        """Packed ids of one match of the pattern, remembered."""
+        packed = self._older.get(match) or _pack(self.encode_match(match.encode()))
+        if len(match) <= LONGEST_WORD:
+            if len(self._recent) >= MEMO // 2:
+                self._older, self._recent = self._recent, {}
+            self._recent[match] = packed
+        return packed
+
     def _packed(self, piece: str) -> bytes:
-        matches = [piece] if PLAIN_WORD(piece) else self.pattern.findall(piece)
-        return b"".join([m[0] == " " and self._words.get(m[1:]) or _pack(self.encode_match(m.encode())) for m in matches])
+        known = self._recent.get(piece)
+        if known:
+            return known
+        if PLAIN_WORD(piece):
+            return self._match(piece)
+        return b"".join([self._recent.get(m) or self._match(m) for m in self.pattern.findall(piece)])
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
         words = text.split(" ")
-        # The memo holds words that may be cut off on both sides, each with the space before it.
-        found = list(map(self._words.get, words))
-        found[0] = None
-        final = len(words) - 1
-        for n in [n for n, packed in enumerate(found) if packed is None]:
-            word = words[n]
-            if n > 0 and (not word or word[0].isspace()) or n < final and (not word or word[-1].isspace()):
-                return self._encode_spaced(words)
-            if n == 0:
-                found[0] = self._packed(word)
-            else:
-                found[n] = packed = self._packed(" " + word)
-                if n < final and len(word) <= LONGEST_WORD:
-                    if len(self._words) >= MEMO:
-                        self._words.clear()
-                    self._words[word] = packed
-        return b"".join(found)
+        if _adjoined(text):
+            return self._encode_spaced(words)
+        # Words may be cut off on both sides, each with the space before it.
+        spaced = [words[0], *[" " + word for word in words[1:]]]
+        recent = self._recent.get
+        return b"".join([recent(word) or self._packed(word) for word in spaced])
 
     def _encode_spaced(self, words: list[str]) -> bytes:
         """The same where spaces adjoin other white space: those stay in one piece."""

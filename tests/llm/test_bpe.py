@@ -35,7 +35,7 @@ def test_memo_is_bounded(monkeypatch):
     small = bpe.Vocabulary(public_tokenizers.path(bpe.RANKS))
     text = "several hundred uncommonly peculiar wordforms beyond memory, twice: several hundred uncommonly peculiar"
     assert np.frombuffer(small.encode(text), "<u4").tolist() == PLAIN.encode_ordinary(text)
-    assert len(small._words) <= 3 and len(small._fits) <= 4
+    assert len(small._recent) + len(small._older) <= 3 and len(small._fits) <= 4
 
 
 def test_round_trip_in_spark(spark):
