@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from citeloom.llm.registry import query, table
 from citeloom.llm.texts import slices
+from citeloom.llm.written import fresh
 
 RANKS = "byte_bpe_50k.tiktoken"
 NEVER = 1 << 60
@@ -278,6 +279,12 @@ def round_trip(
     return _mapped(docs, text, {ids: _encoder(path), body: _decoder(path)})
 
 
+def with_round_trip(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
+    """:func:`round_trip` and the names of its columns, lengthened where ``docs`` has them already."""
+    ids, body = fresh(docs.columns, "ids", "decoded")
+    return round_trip(docs, text=text, ids=ids, body=body), ids, body
+
+
 def id_list(ids) -> list[int]:
     """Packed ids as Python integers, for small results."""
     return np.frombuffer(bytes(ids), "<u4").tolist()

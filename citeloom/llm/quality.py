@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,6 +211,16 @@ def quotas(counts: np.ndarray, sample: int) -> np.ndarray:
     return found
 
 
+def values_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The numbers packed in a binary column, one row after the other, without a copy of a chunk."""
+    parts = []
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], "<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2] or b"", "u1")[ends[0] : ends[-1]].view(kind))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, kind), *parts])
+
+
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model fitted on at most ``sample`` labelled documents."""
     marks, counts = grades(labels), np.zeros(GRADES, np.int64)
@@ -222,13 +233,12 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("grade", "text")
     # Repeated documents can't push the rows beyond their bound.
     found = rows.mapInArrow(_sparse, "grade int, features binary, values binary")
-    found = found.orderBy(F.xxhash64("features", "values")).limit(sample).collect()
-    found.sort(key=lambda r: (r["grade"], bytes(r["features"])))
-    sizes = [len(r["features"]) // 4 for r in found]
-    grade = np.array([r["grade"] for r in found], np.int64)
-    feature = np.frombuffer(b"".join(r["features"] for r in found), "<i4")
-    value = np.frombuffer(b"".join(r["values"] for r in found), "<f4")
-    del found
+    found = found.orderBy(F.xxhash64("features", "values"), "grade", "features").limit(sample)
+    # Arrow's buffers are the arrays that the fit reads: no row becomes a Python object.
+    taken = found.toArrow().combine_chunks()
+    grade = taken["grade"].to_numpy().astype(np.int64)
+    sizes = pc.binary_length(taken["features"]).to_numpy() // 4
+    feature, value = values_of(taken["features"], "<i4"), values_of(taken["values"], "<f4")
     text = np.repeat(np.arange(len(grade), dtype=np.int32), sizes)
     return fit(text, feature, value, grade, stands_for=counts / np.maximum(quota, 1))
 

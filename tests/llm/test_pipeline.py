@@ -18,3 +18,12 @@ def test_stages(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in out.collect():
         assert bytes(r.decoded).decode() == texts[r.doc_id] and (len(bpe.id_list(r.ids)) > 0) == bool(texts[r.doc_id])
+
+
+def test_encode_lengthens_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "two words", 7), (None, None, 8)], "doc_id long, text string, ids int")
+    out = corpus_pipeline.encode(spark, docs, FOLDER)
+    assert out.columns == ["doc_id", "ids", "ids_", "decoded"]
+    assert {(r.ids, bytes(r.decoded)) for r in out.collect()} == {(7, b"two words"), (8, b"")}
+    empty = corpus_pipeline.encode(spark, docs.limit(0), FOLDER)
+    assert empty.columns == out.columns and empty.count() == 0

@@ -96,3 +96,12 @@ def test_weights_of_a_draw_are_those_of_copies():
     text, feature = np.nonzero(x[copies])
     whole = quality.fit(text, feature, x[copies][text, feature], grade[copies])
     assert np.allclose(drawn.weights, whole.weights, atol=1e-3) and np.allclose(drawn.thresholds, whole.thresholds, atol=1e-3)
+
+
+def test_packed_numbers_are_read_in_place():
+    import pyarrow as pa
+
+    rows = [np.array([1, 2, 3], "<i4").tobytes(), b"", np.array([4], "<i4").tobytes()]
+    column = pa.chunked_array([pa.array(rows[:1], pa.binary()), pa.array([b"zzzz", *rows[1:]], pa.binary()).slice(1)])
+    assert quality.values_of(column, "<i4").tolist() == [1, 2, 3, 4]
+    assert quality.values_of(pa.chunked_array([], pa.binary()), "<f4").tolist() == []
