@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document (packed), and the bytes they decode to."""
-    return bpe.round_trip(docs).drop("text")
+    """The token ids of every document (packed), and the bytes they decode to; clashing names are lengthened."""
+    return bpe.with_round_trip(docs)[0].drop("text")
 
 
 STAGES = [
