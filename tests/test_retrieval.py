@@ -4,11 +4,15 @@ import math
 import embedders
 import numpy as np
 import pytest
+from conftest import FOLDER
 from pyspark.sql import functions as F
 
+from citeloom.catalogue import QUERIES, load_all
 from citeloom.functions import text as tx
 from citeloom.operators import dedup, evidence, fusion, lexical, segments, vectors
 
+load_all()
+
 CHUNK = "version_id string, chunk_id string, text string, heading_path array<string>, profiles array<int>"
 
 
@@ -245,3 +249,23 @@ def test_identity_names_every_value_that_differs(spark):
     assert rows == {
         "same": ("", True), "set": ("set_id", False), "all": ("set_id,case_count,set_checksum,snapshot_hash", False), "unset": ("snapshot_hash", False),
     }
+
+
+def test_texts_of_unlike_length_are_apart():
+    for a, b in [("a" * 4, "a" * 400), ("a" * 400, "a" * 4), ("", "a" * 90), ("ab" * 40, "ba" * 100)]:
+        assert not dedup.similar(a, b)
+        assert dedup.longest_common(a, b, 101) == -1
+
+
+def test_neighbours_of_any_length_compare_as_the_plain_ratio_does(spark):
+    from pyspark.sql import Window
+
+    from citeloom.functions import text as tx
+    from citeloom.sources import tables as t
+
+    after = F.lead("text").over(Window.partitionBy("version_id").orderBy("paragraph_start"))
+    blocks = t.chunks(spark, FOLDER).withColumn("after", after).where("after is not null").limit(300)
+    blocks = blocks.select("version_id", "paragraph_start", tx.near_text_key(F.col("text")), tx.near_text_key(F.col("after")))
+    found = {(r.version_id, r.paragraph_start): r.similar for r in QUERIES["fn6_similar_neighbours"](spark, FOLDER).collect()}
+    for version, start, a, b in blocks.collect():
+        assert found[version, start] == (difflib.SequenceMatcher(None, a, b).ratio() >= 0.85)
