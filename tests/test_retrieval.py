@@ -269,3 +269,41 @@ def test_neighbours_of_any_length_compare_as_the_plain_ratio_does(spark):
     found = {(r.version_id, r.paragraph_start): r.similar for r in QUERIES["fn6_similar_neighbours"](spark, FOLDER).collect()}
     for version, start, a, b in blocks.collect():
         assert found[version, start] == (difflib.SequenceMatcher(None, a, b).ratio() >= 0.85)
+
+
+@pytest.mark.parametrize("rounds", [False, True])
+def test_dense_search_in_single_precision_loses_nothing(spark, monkeypatch, rounds):
+    if rounds:
+        for name, value in {"BLOCK_QUERIES": 3, "ROUND_BLOCKS": 2, "DENSE_BLOCKS": 2, "DENSE_QUERIES": 4, "SEGMENT_ROWS": 16}.items():
+            monkeypatch.setattr(segments, name, value)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 24))
+    # Copies, copies that differ beyond single precision, and a vector that is not a number.
+    points = np.vstack([base, base, base + 1e-8 * rng.normal(size=base.shape), rng.normal(size=(30, 24)), np.full((1, 24), np.nan)])
+    rows = [("v1", f"c{i:03d}", [0] if i % 5 else [1], p.tolist()) for i, p in enumerate(points)]
+    table = spark.createDataFrame(rows, "version_id string, chunk_id string, profiles array<int>, embedding array<double>")
+    asked = [(f"q{i:02d}", i % 2, p.tolist()) for i, p in enumerate(base)]
+    queries = spark.createDataFrame(asked, "query_id string, profile int, embedding array<double>")
+    hits = vectors.vector_hits(queries, table, n_queries=len(asked), k=4)
+    found = sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in hits.collect())
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    expected = []
+    for name, profile, p in asked:
+        scores = np.round(unit[:-1] @ (np.array(p) / np.linalg.norm(p)), 9)
+        ranked = sorted((-s, c) for s, (_, c, held, _) in zip(scores, rows) if profile in held)[:4]
+        expected += [(name, n, c, round(-s, 9)) for n, (s, c) in enumerate(ranked, 1)]
+    assert found == sorted(expected)
+
+
+def test_grades_by_topic_are_those_of_pairs(spark):
+    from citeloom.operators import evaluation
+
+    asked = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 3), ("d", None)], "case_id string, topic int")
+    graded = [(1, "x", 3), (1, "y", 1), (1, "x", 2), (2, "y", 2), (2, "z", -1), (1, " ", 9), (3, "w", 0), (None, "x", 5)]
+    grades = spark.createDataFrame(graded, "topic int, source_id string, relevance int")
+    ranked = spark.createDataFrame([("a", 1, "z"), ("a", 2, "y"), ("a", 3, "x"), ("b", 1, "x"), ("c", 1, "w")], "case_id string, rank int, source_id string")
+    rows = evaluation.graded_ndcg(asked, grades, ranked, 2)
+    assert "BroadcastNestedLoop" not in rows._jdf.queryExecution().executedPlan().toString()
+    gain = lambda *rels: sum((2**r - 1) / math.log2(i + 2) for i, r in enumerate(rels))
+    found = {r.case_id: r.ndcg for r in rows.collect()}
+    assert found == pytest.approx({"a": gain(0, 2) / gain(3, 2), "b": gain(3) / gain(3, 1), "c": 0.0})
