@@ -1,6 +1,6 @@
 """Feedback cases: projection, triage, grouping, review, promotion, retention."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom import fixed
@@ -421,31 +421,26 @@ def bad_case_lifecycle(bad_cases: DataFrame, log: DataFrame) -> DataFrame:
 
     ``log``: case_id, target_status, seq. A step is taken only from the status
     right before it, so the status after step n is reached at the first log
-    entry for n that follows the entry taken for n - 1: one aggregate per
-    step, whatever the length of the log.
+    entry for n that follows the entry taken for n - 1. Steps are windows over
+    one arrangement of the log by case, and cases are joined once.
     """
     steps = fixed.BAD_CASE_STEPS
-    reached = bad_cases.select("case_id", F.lit(-1).cast("bigint").alias("at"), F.lit(0).alias("done"))
-    for number, name in enumerate(steps[1:], 1):
-        taken = (
-            log.where(F.col("target_status") == name)
-            .join(reached.where(F.col("done") == number - 1), "case_id")
-            .where(F.col("seq") > F.col("at"))
-            .groupBy("case_id")
-            .agg(F.min("seq").cast("bigint").alias("next_at"))
-        )
-        reached = reached.join(taken, "case_id", "left").select(
-            "case_id",
-            F.coalesce("next_at", "at").alias("at"),
-            F.when(F.col("next_at").isNotNull(), number).otherwise(F.col("done")).alias("done"),
-        )
-    attempts = log.groupBy("case_id").agg(F.count("*").alias("attempts"))
+    of_case = Window.partitionBy("case_id")
+    rows = log.select("case_id", "target_status", F.col("seq").cast("bigint").alias("seq"), F.lit(-1).cast("bigint").alias("at0"))
+    for n, name in enumerate(steps[1:], 1):
+        next_ = (F.col("target_status") == name) & (F.col("seq") > F.col(f"at{n - 1}"))
+        rows = rows.withColumn(f"at{n}", F.min(F.when(next_, F.col("seq"))).over(of_case))
+    last = len(steps) - 1
+    reached = rows.groupBy("case_id").agg(
+        F.count("*").alias("attempts"), F.max(sum(F.col(f"at{n}").isNotNull().cast("int") for n in range(1, last + 1))).alias("done")
+    )
+    done = F.coalesce("done", F.lit(0))
     names = F.array(*[F.lit(s) for s in steps])
-    return reached.join(attempts, "case_id", "left").select(
+    return bad_cases.select("case_id").join(reached, "case_id", "left").select(
         "case_id",
-        F.element_at(names, F.col("done") + 1).alias("status"),
-        F.col("done").alias("accepted"),
-        (F.coalesce("attempts", F.lit(0)) - F.col("done")).alias("refused"),
+        F.element_at(names, done + 1).alias("status"),
+        done.alias("accepted"),
+        (F.coalesce("attempts", F.lit(0)) - done).alias("refused"),
     )
 
 

@@ -74,3 +74,13 @@ def test_lifecycle_takes_steps_in_order(spark):
     log = [("a", "fixed", 1), ("a", "triaged", 2), ("a", "triaged", 3), ("a", "fixed", 4), ("a", "closed", 5), ("b", "closed", 1)]
     got = {r["case_id"]: (r["status"], r["accepted"], r["refused"]) for r in feedback.bad_case_lifecycle(cases, rows(spark, log, "case_id string, target_status string, seq bigint")).collect()}
     assert got == {"a": ("fixed", 2, 3), "b": ("new", 0, 1)}
+
+
+def test_bad_case_log_is_arranged_once(spark):
+    log = [("a", "triaged", 5), ("a", "fixed", 3), ("a", "fixed", 7), ("a", "closed", 9), ("b", "fixed", 1), ("x", "triaged", 1)]
+    cases = rows(spark, [("a",), ("b",), ("c",)], "case_id string")
+    reached = feedback.bad_case_lifecycle(cases, rows(spark, log, "case_id string, target_status string, seq bigint"))
+    got = {r["case_id"]: (r["status"], r["accepted"], r["refused"]) for r in reached.collect()}
+    assert got == {"a": ("fixed", 2, 2), "b": ("new", 0, 1), "c": ("new", 0, 0)}
+    plan = reached._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
