@@ -14,8 +14,10 @@ members. Links found so make components. In a second turn the members outside a
 bucket's main component meet a few more of its members, drawn by a hash, so that
 a large group of variants closes up without its pairs being made. The last turn
 compares all pairs of a bucket that are still in different components and whose
-signatures don't rule a link out. Every pair is verified on the texts by the
-exact similarity.
+signatures don't rule a link out. In a bucket where those would be many pairs a
+member, the shingles of its members are counted first: what a text alone holds
+is missing from every other, which bounds its similarity to all of them at once.
+Every pair is verified on the texts by the exact similarity.
 
 Recall: a pair at similarity 0.8 shares none of the 25 bands of 5 registers
 with a probability of 5e-5, and less above.
@@ -33,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +52,8 @@ REGISTERS = BANDS * ROWS
 #: Bits that differ at a similarity of 0.8: 12.5 on average with a deviation of 3.4; more than this rule it out.
 MOST_APART = 30
 LEADERS = 6
+#: Pairs a member above which a bucket's shingles are counted before its pairs are made.
+CROWD = 4
 COLUMNS = ("row", "node", "bands", "bits_1", "bits_2")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,6 +208,84 @@ def _pairs(one: DataFrame, tried: list[DataFrame]) -> DataFrame:
     return written(ordered.join(_united(tried), ["a", "b"], "left_anti") if tried else ordered, "near-pairs")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, size in slices(batch["text"]):
+            part = batch.slice(start, size)
+            owner, shingle, weight = weighted_shingles([plain_words(t) for t in part["text"].to_pylist()])
+            node = part["node"].to_numpy()[owner]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node), pa.array(shingle.view(np.int64)), pa.array(weight.astype(np.int64))],
+                ["node", "shingle", "weight"],
+            )
+
+
+def _own(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, total, plain, own, rest_1, rest_2) of ``nodes``.
+
+    The weight of each, whether no shingle repeats, the weight of what it alone
+    holds, and 128 parity bits of its other shingles.
+    """
+    wanted = texts.join(nodes.hint("merge"), "node", "left_semi")
+    rows = written(wanted.mapInArrow(_shingle_rows, "node long, shingle long, weight long"), "shingles")
+    place = F.xxhash64("shingle").bitwiseAND(127).cast("int")
+    flips = [F.when(F.shiftright(place, 6) == k, F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63))).otherwise(0) for k in (0, 1)]
+    totals = rows.groupBy("node").agg(
+        F.sum("weight").alias("total"),
+        (F.max("weight") == 1).alias("plain"),
+        F.bit_xor(flips[0]).alias("all_1"),
+        F.bit_xor(flips[1]).alias("all_2"),
+    )
+    # Counts are combined where rows are read, so a shingle of all variants is one row a task.
+    once = rows.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("node").alias("node"), F.any_value("weight").alias("weight")
+    )
+    own = once.filter("n = 1").groupBy("node").agg(
+        F.sum("weight").alias("own"), F.bit_xor(flips[0]).alias("own_1"), F.bit_xor(flips[1]).alias("own_2")
+    )
+    return totals.join(own, "node", "left").selectExpr(
+        "node",
+        "total",
+        "plain",
+        "coalesce(own, 0L) AS own",
+        "all_1 ^ coalesce(own_1, 0L) AS rest_1",
+        "all_2 ^ coalesce(own_2, 0L) AS rest_2",
+    )
+
+
+def may_link(x: str, y: str) -> Column:
+    """False for two members of :func:`_own` that can't be similar.
+
+    Where no shingle repeats, the common ones are at most what either has left
+    without its own; and what only one holds is at least the own of both and one
+    more for each parity bit that differs. With weights, for shares a and b that are own, each term
+    of the similarity is at most ``2 / ((1 + a) / x_d + (1 + b) / y_d)``, a
+    concave function, so their sum is at most ``2 / (f(a) + f(b))`` with
+    ``f(a) = (1 + a) / (1 - a)``.
+    """
+    left = F.least(F.expr(f"{x}.total - {x}.own"), F.expr(f"{y}.total - {y}.own"))
+    apart = F.expr(f"{x}.own + {y}.own + bit_count({x}.rest_1 ^ {y}.rest_1) + bit_count({x}.rest_2 ^ {y}.rest_2)")
+    both = F.expr(f"{x}.total + {y}.total")
+    sets = F.least(left, (both - apart) / 2) * (1 + LEAST) >= both * LEAST - 1e-6
+    f = [F.expr(f"({z}.total + {z}.own) / nullif({z}.total - {z}.own, 0)") for z in (x, y)]
+    weights = F.coalesce(f[0] + f[1] <= 2 / LEAST + 1e-6, F.lit(False))
+    return F.when(F.expr(f"{x}.plain AND {y}.plain"), sets).otherwise(weights)
+
+
+def _thinned(split: DataFrame, texts: DataFrame) -> DataFrame:
+    """``split`` with the columns of :func:`_own` for the members of crowded bands, less those that are similar to none there."""
+    sizes = split.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+    crowded = sizes.groupBy("band").agg(F.sum("n").alias("members"), pairs.alias("pairs"))
+    crowded = written(crowded.filter(F.col("pairs") > CROWD * F.col("members")).select("band"), "crowded")
+    here = written(split.join(crowded, "band", "left_semi").select("node").distinct(), "crowd")
+    own = written(_own(here, texts), "own")
+    placed = split.join(crowded.withColumn("crowded", F.lit(True)), "band", "left").join(own, "node", "left")
+    # Another text holds none of what is its own.
+    alone = F.col("own") > F.col("total") * (1 - LEAST) + 1e-6
+    return placed.filter(~F.coalesce(F.col("crowded") & alone, F.lit(False))).drop("crowded")
+
+
 def near_links(rows: DataFrame) -> DataFrame:
     """Verified links (a, b) that join all near-duplicate nodes of ``rows`` (node, text, bands, bits)."""
     nodes = rows.select("node", "bands", "bits_1", "bits_2").dropDuplicates(["node"])
@@ -225,15 +307,20 @@ def near_links(rows: DataFrame) -> DataFrame:
     met = outside.select(F.col("node").alias("a"), F.explode(F.array_distinct("m.leaders")).alias("b"))
     tried.append(_pairs(met, tried))
     links.append(written(verified(tried[1], texts), "near-links"))
-    split = _split(members, _united(links))
+    split = _thinned(_split(members, _united(links)), texts)
     # Nodes share many bands; a pair is made at the first of them only.
     split = split.join(rows.select("node", F.array_sort("bands").alias("bands")).dropDuplicates(["node"]), "node")
     first = F.array_min(F.array_intersect("x.bands", "y.bands"))
     # One bit a register differs in half of those that disagree.
     apart = F.bit_count(F.expr("x.bits_1 ^ y.bits_1")) + F.bit_count(F.expr("x.bits_2 ^ y.bits_2"))
+    # Two members that were counted were counted together.
+    counted = F.coalesce(may_link("x", "y"), F.lit(True)) | F.expr("x.total IS NULL OR y.total IS NULL")
     rest = split.alias("x").join(
         split.alias("y"),
-        F.expr("x.band = y.band AND x.node < y.node AND x.root <> y.root") & (apart <= MOST_APART) & (first == F.col("x.band")),
+        F.expr("x.band = y.band AND x.node < y.node AND x.root <> y.root")
+        & (apart <= MOST_APART)
+        & counted
+        & (first == F.col("x.band")),
     )
     rest = _pairs(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), tried)
     return _united([*links, written(verified(rest, texts), "near-links")])

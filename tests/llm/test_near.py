@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,6 +89,42 @@ def test_large_group_of_variants(spark):
     assert sorted(map(sorted, by.values())) == wanted(rows)
 
 
+def test_variants_without_links_are_not_paired(spark, monkeypatch):
+    rng = random.Random(5)
+    base = words(rng, 150)
+    rows = [(i, changed(rng, base, rng.choice((0, 1, 2)) if i % 2 else rng.choice((5, 6, 7)))) for i in range(240)]
+    rows += [(1000 + i, changed(rng, base, 5) + " " + "x y z x y z x y z") for i in range(20)]
+    made, plain = [], minhash.verified
+
+    def counted(pairs, texts):
+        made.append(pairs.count())
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    found = minhash.classes(documents(spark, rows))[1].collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.keeper, []).append(str(r.doc_id))
+    sets = minhash._sets([t for _, t in rows])
+    alike = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if minhash.similarity(sets[i], sets[j]) >= 0.8]
+    root = groups(alike, range(len(rows)))
+    expected = {}
+    for i, (doc_id, _) in enumerate(rows):
+        expected.setdefault(root[i], []).append(str(doc_id))
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, expected.values()))
+    assert made[-1] < 3 * len(rows)
+
+
+def test_own_shingles_bound_the_similarity():
+    rng = random.Random(6)
+    for _ in range(300):
+        common = [(rng.randrange(1, 4), rng.randrange(1, 4)) for _ in range(rng.randrange(1, 12))]
+        x = {("c", k): v for k, (v, _) in enumerate(common)} | {("x", k): rng.randrange(1, 4) for k in range(rng.randrange(4))}
+        y = {("c", k): v for k, (_, v) in enumerate(common)} | {("y", k): rng.randrange(1, 4) for k in range(rng.randrange(4))}
+        a, b = (sum(v for (s, _), v in z.items() if s != "c") / sum(z.values()) for z in (x, y))
+        assert weighted_jaccard(Counter(x), Counter(y)) <= 2 / ((1 + a) / (1 - a) + (1 + b) / (1 - b)) + 1e-9
+
+
 def test_empty_table(spark):
     assert minhash.classes(documents(spark, []))[1].collect() == []
 
