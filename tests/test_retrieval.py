@@ -307,3 +307,43 @@ def test_grades_by_topic_are_those_of_pairs(spark):
     gain = lambda *rels: sum((2**r - 1) / math.log2(i + 2) for i, r in enumerate(rels))
     found = {r.case_id: r.ndcg for r in rows.collect()}
     assert found == pytest.approx({"a": gain(0, 2) / gain(3, 2), "b": gain(3) / gain(3, 1), "c": 0.0})
+
+
+def test_common_words_are_scored_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from citeloom.operators import segments
+
+    rng = np.random.default_rng(4)
+    rows, words, n = 4096, 40, 120
+    tokens = pa.array([[f"t{k}" for k in np.flatnonzero(rng.random(words) < 0.9)] for _ in range(rows)])
+    columns = {
+        "v": pa.array([f"v{k // 9}" for k in range(rows)]),
+        "c": pa.array([f"c{k}" for k in range(rows)]),
+        "p": pa.array([[0]] * rows, pa.list_(pa.int32())),
+        **segments._inverted([tokens], [1.0], "log_tf"),
+    }
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns.values()]
+    batch = pa.RecordBatch.from_arrays(lists, list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    segment = segments._Segment(sink.getvalue().to_pybytes())
+    asked = [(f"q{q}", 0, f"t{k}", float(1 + rng.random())) for q in range(n) for k in range(words)]
+    block = segments._SparseBlock(pa.array([dict(zip(("query_id", "profile", "f", "w"), x)) for x in asked]), 20)
+    tracemalloc.start()
+    found = block.found(segment)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160e6
+    held = np.zeros((rows, words))
+    for k, row in enumerate(tokens.to_pylist()):
+        held[k, [int(t[1:]) for t in row]] = 1
+    for q in (0, n - 1):
+        name = block.queries[q].as_py()
+        weight = [w for who, _, _, w in asked if who == name]
+        want = sorted(np.round(held @ weight, 9))[::-1][:20]
+        got = sorted((s for who, _, part in found if who == q for s in part), reverse=True)[:20]
+        np.testing.assert_allclose(got, want, atol=2e-9)
