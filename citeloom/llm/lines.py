@@ -28,6 +28,7 @@ whose lines all go becomes empty; an empty table gives no rows; other columns
 pass through :func:`without_repeated_lines`, whatever their names.
 """
 
+from functools import reduce
 from math import floor, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,13 +40,16 @@ from citeloom.llm.written import dropped, fresh, written
 PERCENT = 80
 BUCKETS = 1 << 16
 RAREST = 4
+#: Turns in which the postings are shuffled, a part of all words in each (a power of two): a turn's disk is freed before the next.
+PARTS = 2
 SEED = 42
 
 
-def word_hashes(line: Column) -> Column:
-    """Hashes of the words, repeats included."""
-    hashes = F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
-    return F.when(line.rlike("^ |  | $|^$"), F.array_remove(hashes, F.xxhash64(F.lit("")))).otherwise(hashes)
+def words_of(line: Column) -> Column:
+    """The words, repeats included."""
+    words = F.split(F.lower(line), " ")
+    spaced = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == "")
+    return F.when(spaced, F.array_remove(words, "")).otherwise(words)
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> Column:
     """A level for each bucket of word hashes: three steps for each doubling of its count."""
-    words = docs.select(F.explode(F.split(F.lower(F.translate("text", "\n", " ")), " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int")
     levels = [1] * BUCKETS
     for row in words.groupBy(bucket.alias("bucket")).count().collect():
@@ -66,13 +70,16 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(x << 56) for x in levels)), ",").cast("array<bigint>")
 
 
-def ordered(hashes: Column, levels: Column) -> Column:
+def ordered(words: Column, levels: Column) -> Column:
     """A word's level and 56 bits of its hash in one number; in order, rarest first."""
 
-    def key(h: Column) -> Column:
-        return F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        found = F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+        # Known not to be null, the numbers are told apart and sorted as they are, not as objects.
+        return F.coalesce(found, F.lit(0).cast("long"))
 
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+    return F.sort_array(F.array_distinct(F.transform(words, key)))
 
 
 def needed(size: Column) -> Column:
@@ -82,7 +89,9 @@ def needed(size: Column) -> Column:
 
 def sets_of_lines(docs: DataFrame, levels: Column) -> DataFrame:
     """(row, doc_id, line_no, k1, k2, n, bits, prefix) of the lines that have words."""
-    keys = exploded(docs).select("row", "doc_id", "line_no", ordered(word_hashes(F.col("line")), levels).alias("words"))
+    # Lines without words are found on the text: a filter on the sets would work them out once more.
+    lines = exploded(docs).filter(F.trim("line") != "")
+    keys = lines.select("row", "doc_id", "line_no", ordered(words_of(F.col("line")), levels).alias("words"))
 
     def parity(half: int) -> Column:
         """Half of 128 bits; each word flips one of them, chosen by seven bits of its hash."""
@@ -94,7 +103,7 @@ def sets_of_lines(docs: DataFrame, levels: Column) -> DataFrame:
         return F.aggregate("words", F.lit(0).cast("long"), lambda held, w: held.bitwiseXOR(flip(w)))
 
     size = F.size("words")
-    return keys.filter(size > 0).select(
+    return keys.select(
         "row",
         "doc_id",
         "line_no",
@@ -147,7 +156,7 @@ def postings(sets: DataFrame, most: int | None, *columns: str) -> DataFrame:
 def neighbours(sets: DataFrame) -> DataFrame:
     """(later, earlier): each set with the earliest and the preceding one for its rarest words."""
     rows = postings(sets, RAREST, "first").withColumn("me", F.struct("n", "place", "bits", "more_bits"))
-    by_place = Window.partitionBy("word").orderBy("first")
+    by_place = Window.partitionBy("word").orderBy("first.doc_id", "first.line_no", "first.row")
     other = F.struct("k1", "n", "place", "bits", "more_bits")
     near = rows.select(
         "k1", "me", F.first(other).over(by_place).alias("head"), F.lag(other).over(by_place).alias("previous")
@@ -177,6 +186,23 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return met.filter(similar).select("later").distinct()
 
 
+def meeting(sets: DataFrame, part: int) -> DataFrame:
+    """(one, other): sets, one of which asks at least, that may be similar by a word of this part of all words."""
+    # Sizes, places and the flag travel in one number: rows are many.
+    packed = F.expr("shiftleft(shiftleft(CAST(n AS BIGINT), 30) | place, 1) | CAST(asks AS BIGINT)")
+    rows = postings(sets, None, "asks").filter(F.col("word").bitwiseAND(PARTS - 1) == part)
+    rows = rows.select("word", "k1", "bits", "more_bits", packed.alias("packed"))
+
+    def unpacked(x: str) -> Posting:
+        place = F.expr(f"CAST(shiftright({x}.packed, 1) & 1073741823 AS INT)")
+        return F.expr(f"CAST(shiftright({x}.packed, 31) AS INT)"), place, F.col(f"{x}.bits"), F.col(f"{x}.more_bits")
+
+    # No condition is on one side only, so both sides are the same rows and are shuffled once.
+    meet = F.expr("a.word = b.word AND a.k1 < b.k1 AND (a.packed | b.packed) & 1 = 1")
+    met = rows.alias("a").join(rows.alias("b"), meet & may_match(unpacked("a"), unpacked("b")))
+    return met.select(F.col("a.k1").alias("one"), F.col("b.k1").alias("other")).distinct()
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(row, gone): the line numbers that go, for the rows of (row, doc_id, text) that lose any."""
     whole = written(sets_of_lines(docs, rarity(docs)), "line-sets")
@@ -191,24 +217,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     marked = written(sets.join(known, "k1", "left").withColumn("asks", F.coalesce("asks", F.lit(True))), "marked-sets")
     dropped(sets)
     sets = marked
-    # Both sides are the same rows, so they are shuffled once; which set is the earlier comes after.
-    # Sizes, places and the flag travel in one number: rows are many.
-    packed = F.expr("shiftleft(shiftleft(CAST(n AS BIGINT), 30) | place, 1) | CAST(asks AS BIGINT)")
-    rows = postings(sets, None, "asks").select("word", "k1", "bits", "more_bits", packed.alias("packed"))
-
-    def unpacked(x: str) -> Posting:
-        place = F.expr(f"CAST(shiftright({x}.packed, 1) & 1073741823 AS INT)")
-        return F.expr(f"CAST(shiftright({x}.packed, 31) AS INT)"), place, F.col(f"{x}.bits"), F.col(f"{x}.more_bits")
-
-    meet = F.expr("a.word = b.word AND a.k1 <> b.k1 AND a.packed & 1 = 1")
-    met = rows.alias("a").join(rows.alias("b"), meet & may_match(unpacked("a"), unpacked("b")))
-    met = written(met.select(F.col("a.k1").alias("later"), F.col("b.k1").alias("earlier")).distinct(), "line-pairs")
-    places = sets.select("k1", "first")
-    pairs = (
-        met.join(places.toDF("later", "place"), "later")
-        .join(places.toDF("earlier", "before"), "earlier")
-        .filter("before < place")
-        .select("later", "earlier")
+    parts = [written(meeting(sets, part), "sets-met") for part in range(PARTS)]
+    met = reduce(DataFrame.unionByName, parts).distinct()
+    places = sets.select("k1", "asks", "first")
+    placed = met.join(places.toDF("one", "asks", "place"), "one").join(places.toDF("other", "other_asks", "where"), "other")
+    after = F.col("where") < F.col("place")
+    pairs = placed.filter(F.when(after, F.col("asks")).otherwise(F.col("other_asks"))).select(
+        F.when(after, F.col("one")).otherwise(F.col("other")).alias("later"),
+        F.when(after, F.col("other")).otherwise(F.col("one")).alias("earlier"),
     )
     more = written(verified(written(pairs, "line-pairs"), sets, docs), "lines-matched")
     going = matched.unionByName(more).distinct().select(F.col("later").alias("k1"), F.lit(True).alias("going"))

@@ -3,6 +3,7 @@ import textwrap
 
 import numpy as np
 from brute import documents
+from pyspark.sql import functions as F
 from citeloom.llm import licences, lines, topk
 
 
@@ -152,3 +153,19 @@ def test_words_of_the_own_row_confirm_a_pair(spark):
     rows = [(None, " ".join(words)), (None, " ".join([*words[:9], "other"])), (None, "quite another line")]
     left = lines.without_repeated_lines(documents(spark, rows).coalesce(1)).collect()
     assert sorted(r.text for r in left) == sorted(["", "quite another line", rows[0][1]])
+
+
+def test_words_are_put_in_order_once_and_postings_shuffled_once(spark):
+    docs = documents(spark, [(1, "a b c\nd  e"), (2, " a b c d")]).withColumn("row", F.monotonically_increasing_id())
+    found = lines.sets_of_lines(docs, lines.rarity(docs))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
+    sets = lines.distinct_sets(found).withColumn("asks", F.lit(True) & (F.col("n") > 0))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        plan = lines.meeting(lines.written(sets, "sets"), 0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange" in plan
