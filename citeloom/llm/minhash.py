@@ -195,9 +195,15 @@ def _united(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _split(members: DataFrame, links: DataFrame) -> DataFrame:
+def _stars(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the components of ``links``, and one link (a, b) a node, to its root, that joins the same nodes."""
+    roots = components(links)
+    return roots, roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their component, of the bands that hold several components."""
-    placed = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     return written(placed.join(several.select("band"), "band"), "split-bands")
 
@@ -287,7 +293,11 @@ def _thinned(split: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_links(rows: DataFrame) -> DataFrame:
-    """Verified links (a, b) that join all near-duplicate nodes of ``rows`` (node, text, bands, bits)."""
+    """Links (a, b) that join all near-duplicate nodes of ``rows`` (node, text, bands, bits).
+
+    Those of the last turn are verified pairs. Of the turns before, each node has one, to the root of what verified
+    pairs join: a large group has many pairs, and none is walked again in later turns.
+    """
     nodes = rows.select("node", "bands", "bits_1", "bits_2").dropDuplicates(["node"])
     members = written(nodes.withColumn("band", F.explode("bands")).drop("bands"), "bands")
     ends = members.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
@@ -297,17 +307,17 @@ def near_links(rows: DataFrame) -> DataFrame:
     texts = written(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     star = [members.select(F.col("node").alias("a"), F.col(x).alias("b")) for x in ("low", "high")]
     tried = [_pairs(_united(star), [])]
-    links = [written(verified(tried[0], texts), "near-links")]
+    roots, stars = _stars(written(verified(tried[0], texts), "near-links"))
     members = members.drop("low", "high")
-    split = _split(members, _united(links))
+    split = _split(members, roots)
     drawn = [F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(LEADERS)]
     sizes = split.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.array(*drawn).alias("leaders"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "leaders")).alias("m"))
     outside = split.join(main, "band").filter("root <> m.root")
     met = outside.select(F.col("node").alias("a"), F.explode(F.array_distinct("m.leaders")).alias("b"))
     tried.append(_pairs(met, tried))
-    links.append(written(verified(tried[1], texts), "near-links"))
-    split = _thinned(_split(members, _united(links)), texts)
+    roots, stars = _stars(stars.unionByName(written(verified(tried[1], texts), "near-links")))
+    split = _thinned(_split(members, roots), texts)
     # Nodes share many bands; a pair is made at the first of them only.
     split = split.join(rows.select("node", F.array_sort("bands").alias("bands")).dropDuplicates(["node"]), "node")
     first = F.array_min(F.array_intersect("x.bands", "y.bands"))
@@ -323,7 +333,7 @@ def near_links(rows: DataFrame) -> DataFrame:
         & (first == F.col("x.band")),
     )
     rest = _pairs(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), tried)
-    return _united([*links, written(verified(rest, texts), "near-links")])
+    return stars.unionByName(written(verified(rest, texts), "near-links"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:

@@ -89,6 +89,37 @@ def test_large_group_of_variants(spark):
     assert sorted(map(sorted, by.values())) == wanted(rows)
 
 
+def test_pairs_of_a_group_are_walked_once(spark, monkeypatch):
+    rng = random.Random(3)
+    base = words(rng, 120)
+    rows = [(i, changed(rng, base, rng.choice((1, 2, 3, 4)))) for i in range(120)]
+    linked, walked, verify, join = [], [], minhash.verified, minhash.components
+
+    def verified(pairs, texts):
+        found = minhash.written(verify(pairs, texts), "counted")
+        linked.append(found.count())
+        return found
+
+    def joined(links):
+        walked.append(links.count())
+        return join(links)
+
+    monkeypatch.setattr(minhash, "verified", verified)
+    monkeypatch.setattr(minhash, "components", joined)
+    found = minhash.classes(documents(spark, rows))[1].collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.keeper, []).append(str(r.doc_id))
+    sets = minhash._sets([t for _, t in rows])
+    alike = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if minhash.similarity(sets[i], sets[j]) >= 0.8]
+    expected = {}
+    for i, root in groups(alike, range(len(rows))).items():
+        expected.setdefault(root, []).append(str(i))
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, expected.values()))
+    assert len(linked) == len(walked) == 3 and walked[0] == linked[0] > len(rows)
+    assert all(w < len(rows) + new for w, new in zip(walked[1:], linked[1:]))
+
+
 def test_variants_without_links_are_not_paired(spark, monkeypatch):
     rng = random.Random(5)
     base = words(rng, 150)
