@@ -234,11 +234,16 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # Repeated documents can't push the rows beyond their bound.
     found = rows.mapInArrow(_sparse, "grade int, features binary, values binary")
     found = found.orderBy(F.xxhash64("features", "values"), "grade", "features").limit(sample)
-    # Arrow's buffers are the arrays that the fit reads: no row becomes a Python object.
-    taken = found.toArrow().combine_chunks()
+    # No row becomes a Python object.
+    taken = found.toArrow()
     grade = taken["grade"].to_numpy().astype(np.int64)
     sizes = pc.binary_length(taken["features"]).to_numpy() // 4
-    feature, value = values_of(taken["features"], "<i4"), values_of(taken["values"], "<f4")
+    feature, value = (
+        np.require(values_of(taken[name], kind), requirements="O") for name, kind in (("features", "<i4"), ("values", "<f4"))
+    )
+    # The arrays own their numbers, so that Arrow's memory goes back before the fit; it would be held ever after.
+    del taken
+    pa.default_memory_pool().release_unused()
     text = np.repeat(np.arange(len(grade), dtype=np.int32), sizes)
     return fit(text, feature, value, grade, stands_for=counts / np.maximum(quota, 1))
 

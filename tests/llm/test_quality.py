@@ -105,3 +105,20 @@ def test_packed_numbers_are_read_in_place():
     column = pa.chunked_array([pa.array(rows[:1], pa.binary()), pa.array([b"zzzz", *rows[1:]], pa.binary()).slice(1)])
     assert quality.values_of(column, "<i4").tolist() == [1, 2, 3, 4]
     assert quality.values_of(pa.chunked_array([], pa.binary()), "<f4").tolist() == []
+
+
+def test_fit_holds_no_memory_of_arrow(spark, monkeypatch):
+    import pyarrow as pa
+    from conftest import FOLDER
+
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "labels"))
+    held, whole = [], quality.fit
+
+    def fit(text, feature, value, *rest, **more):
+        held.append((feature.flags.owndata, value.flags.owndata, pa.total_allocated_bytes()))
+        return whole(text, feature, value, *rest, rounds=1, **more)
+
+    monkeypatch.setattr(quality, "fit", fit)
+    before = pa.total_allocated_bytes()
+    quality.trained(docs, labels)
+    assert held == [(True, True, before)]
