@@ -1,8 +1,10 @@
 import difflib
 import math
+from urllib.parse import unquote, urlparse
 
 import embedders
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import FOLDER
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from citeloom.catalogue import QUERIES, load_all
 from citeloom.functions import text as tx
 from citeloom.operators import dedup, evidence, fusion, lexical, segments, vectors
+from citeloom.plans import ask as plan
 
 load_all()
 
@@ -69,6 +72,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch, rounds):
         assert [(r["version_id"], r["chunk_id"]) for r in got] == want
 
 
+def test_indexes_are_read_a_few_segments_at_a_time(spark):
+    """A reader takes a row group at once, and a segment is a row of megabytes."""
+    table = chunk_table(spark, [("v1", f"c{i:03d}", f"w{i} x", []) for i in range(400)]).coalesce(1)
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_a_batch)
+    spark.conf.set(rows_a_batch, "10")
+    try:
+        indexes = plan.written_indexes(table)
+    finally:
+        spark.conf.set(rows_a_batch, before)
+    for index in indexes:
+        held = [pq.ParquetFile(unquote(urlparse(f).path)).metadata for f in index.inputFiles()]
+        groups = [m.row_group(i).num_rows for m in held for i in range(m.num_row_groups)]
+        assert sum(groups) == 40
+        assert max(groups) <= 8
+
+
 def test_profiles_hide_chunks(spark):
     rows = [("v1", "a", "x y", [], [1]), ("v2", "b", "x", [], [0, 1]), ("v3", "c", "x", [], [0])]
     table = spark.createDataFrame(rows, CHUNK)
